@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pii
+from . import decontaminate, html_text, language, licenses, pieces, pii, warc
+from .common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,32 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archive(table(spark, sf_dir, "pages"))
+    return warc.read_archive(index, index._warc_root).drop("payload")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    same = F.col("decoded").eqNullSafe(F.translate("text", pieces.SPACE, " "))
+    return rows.select("doc_id", F.when(F.col("pieces").isNull(), 0).otherwise(F.size("pieces")).cast("long").alias("n_pieces"), "pieces", same.alias("round_trip"))
+
+
+def language_model(docs: DataFrame) -> dict:
+    """Trained on the documents outside the held-out fold."""
+    return language.fit(docs.where(fold(F.col("doc_id"), 4) != 2), F.col("text"), F.col("lang"), F.xxhash64("doc_id"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = language.identify(docs, language_model(docs), keep=["doc_id"])
+    return rows.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -28,11 +55,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("_base")), 256).alias("base_sha256"), pii.joined(F.col("_spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op8_decontamination, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op4_html_text, op5_pieces, op6_language, op8_decontamination, op10_pii)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, url, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM d)
+SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f
+""",
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
