@@ -31,8 +31,8 @@ CONTENT_TAGS = {"article", "main"}
 BOILER_WORDS = set("ad ads advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert menu nav navigation navbar sidebar footer masthead breadcrumb breadcrumbs comment comments reply replies disqus share sharing social related recommended newsletter subscribe subscription popup modal overlay pagination pager widget login signup search toolbar copyright disclaimer complementary contentinfo".split())
 CONTENT_WORDS = {"article", "main", "story", "post", "entry", "articlebody", "content"}
 # The classifier's weights, in nats.
-BIAS, IN_CONTENT, IN_BOILER, LINKS, SPAN, HEADING = -0.5, 6.0, -9.0, -4.0, 1.2, 0.7
-NEAR, SIBLING = 0.5, 0.6  # smoothness between neighbours in the page, and besides in one parent
+BIAS, IN_CONTENT, IN_BOILER, LINKS, SPAN, HEADING = -0.3, 6.0, -9.0, -4.0, 1.6, 0.7
+NEAR, SIBLING = 0.4, 0.4  # smoothness between neighbours in the page, and besides in one parent
 
 
 class _Element:

@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, DIM = 1 << 15, 12
-SAMPLE = 3000  # labelled texts, at most, that the driver trains on
-EPOCHS, BATCH, RATE = 8, 32, 0.5
+SAMPLE = 4000  # labelled texts, at most, that the driver trains on
+EPOCHS, BATCH, RATE = 10, 32, 0.5
 REJECTED = 0.0005  # share of held-out sample texts that may fall under the least score
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, licenses, pieces, pii, warc
+from . import decontaminate, html_text, language, licenses, minhash, pieces, pii, warc
 from .common import fold
 
 
@@ -43,6 +43,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -55,7 +59,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("_base")), 256).alias("base_sha256"), pii.joined(F.col("_spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op4_html_text, op5_pieces, op6_language, op8_decontamination, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op4_html_text, op5_pieces, op6_language, op7_minhash, op8_decontamination, op10_pii)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
