@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, licenses, minhash, pieces, pii, warc
+from . import decontaminate, html_text, language, licenses, minhash, ngram, pieces, pii, warc
 from .common import fold
 
 
@@ -22,6 +22,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(index, index._warc_root).drop("payload")
 
 
+def op3_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngram.train(ngram.training(docs))
+    rows = ngram.score(docs, model)
+    total = F.lit(model["words"][2]).cast("long").alias("train_tokens")
+    return rows.select("doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", total, "base_score", "score")
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -59,7 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("_base")), 256).alias("base_sha256"), pii.joined(F.col("_spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op4_html_text, op5_pieces, op6_language, op7_minhash, op8_decontamination, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_ngram, op4_html_text, op5_pieces, op6_language, op7_minhash, op8_decontamination, op10_pii)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
