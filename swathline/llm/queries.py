@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, licenses, minhash, ngram, pieces, pii, warc
+from . import decontaminate, embeddings, html_text, language, licenses, minhash, ngram, pieces, pii, warc
 from .common import fold
 
 
@@ -60,6 +60,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     many = lambda i, k: F.size(F.filter("_base", lambda x: x["kind"] == i)).cast("long").alias(f"n_{k}")
@@ -67,7 +71,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("_base")), 256).alias("base_sha256"), pii.joined(F.col("_spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_ngram, op4_html_text, op5_pieces, op6_language, op7_minhash, op8_decontamination, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_ngram, op4_html_text, op5_pieces, op6_language, op7_minhash, op8_decontamination, op9_itq, op10_pii)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
