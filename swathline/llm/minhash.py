@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import TOKEN, components, materialize, release, words
 
-WIDTH, K, SHORT, SIGMAS = 5, 48, 6, 5.0
+WIDTH, K, SHORT, SIGMAS = 5, 32, 6, 5.0
 NUMERATOR, DENOMINATOR = 75, 100
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -85,28 +85,23 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return _tokens(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, set): all shingle hashes, sorted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists([shingles(t) for t in _rows(batch.column("_t"))])], ["doc_id", "set"])
-
-    return _tokens(docs, id_col, text_col).mapInArrow(run, "doc_id long, set array<long>")
-
-
 def proposals(classes: DataFrame, k: int = K, short: int = SHORT) -> DataFrame:
     """Pairs (a < b) of classes that meet in an inverted list and whose union sketch looks near, with the
-    estimate; `sure` where the sketches are the whole sets and so decide already."""
+    estimate."""
     posts = classes.select(F.explode("sketch").alias("v"), "c")
+    # most values belong to one class; only the others make lists
+    lists = posts.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
+    posts = materialize(posts.join(lists, "v", "left_semi"), "posts")
     head = lambda *by: F.min_by("c", F.xxhash64("c", *by))
-    heads = posts.groupBy("v").agg(F.count("*").alias("m"), head().alias("r0"), head("v").alias("r1"), head("v", F.lit(1)).alias("r2")).where("m > 1")
+    heads = posts.groupBy("v").agg(F.count("*").alias("m"), head().alias("r0"), head("v").alias("r1"), head("v", F.lit(1)).alias("r2"))
     listed = posts.join(heads, "v")
     stars = listed.where(F.col("m") > short).select("c", F.explode(F.array("r0", "r1", "r2")).alias("r"))
     small = listed.where(F.col("m") <= short).select("v", "c")
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.c") < F.col("y.c"))).select(F.col("x.c").alias("c"), F.col("y.c").alias("r"))
     both = stars.where("c <> r").unionByName(pairs).select(F.least("c", "r").alias("a"), F.greatest("c", "r").alias("b")).distinct()
-    side = lambda s: classes.select(F.col("c").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    # the high halves of the retained values are enough for an estimate
+    half = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))
+    side = lambda s: classes.select(F.col("c").alias(s), F.col("n").alias(f"n{s}"), half.alias(f"s{s}"))
     rows = both.join(side("a"), "a").join(side("b"), "b")
     rows = rows.where(DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb"))
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
@@ -114,24 +109,39 @@ def proposals(classes: DataFrame, k: int = K, short: int = SHORT) -> DataFrame:
     rows = rows.withColumn("u", F.when(whole, F.col("u")).otherwise(F.slice("u", 1, k)))
     rows = rows.withColumn("i", F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u"))).withColumn("m", F.size("u"))
     t = NUMERATOR / DENOMINATOR
-    near = F.when(whole, DENOMINATOR * F.col("i") >= NUMERATOR * F.col("m")).otherwise(F.col("i") / F.col("m") >= t - SIGMAS * F.sqrt(t * (1 - t) / F.col("m")))
-    return rows.where(near).select("a", "b", (F.col("i") / F.col("m")).alias("estimate"), whole.alias("sure"))
+    near = F.col("i") / F.col("m") >= t - SIGMAS * F.sqrt(t * (1 - t) / F.col("m"))
+    out = materialize(rows.where(near).select("a", "b", (F.col("i") / F.col("m")).alias("estimate")), "pairs")
+    release(posts)
+    return out
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> set:
+    """The distinct shingles themselves."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+    if len(w) < width:
+        return {tuple(w)} if w else set()
+    return set(zip(*(w[k:] for k in range(width)), strict=False))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("set").alias(f"s{s}"))
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold.  Only texts travel, which compress better than hashes."""
+    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t{s}"))
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, set()
         for batch in batches:
             keep = []
-            for x, y in zip(_rows(batch.column("sa")), _rows(batch.column("sb")), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
+            for i, b in enumerate(batch.column("b").to_pylist()):
+                tb = batch.column("tb")[i].as_py()
+                if tb != last:  # rows of one b come together
+                    last, held = tb, shingle_set(tb)
+                x = shingle_set(batch.column("ta")[i].as_py())
+                both = len(x & held)
+                keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(held) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,23 +149,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(sketches(docs, id_col, text_col), "sketches")
     named = rows.where("n > 0 and doc_id is not null")
     classes = materialize(named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("c"), F.first("sketch").alias("sketch")), "classes")
-    pairs = materialize(proposals(classes.select("c", "n", "sketch")), "pairs")
-    open_ = pairs.where("not sure")
-    needed = open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct()
+    pairs = proposals(classes.select("c", "n", "sketch"))
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialize(full_sets(source.join(needed, "doc_id", "left_semi")), "sets")
+    # neither side has a bound, so the plan is the same at every size
+    texts = materialize(source.join(needed.hint("merge"), "doc_id", "left_semi"), "texts")
     # the likeliest partner of each class first
-    ends = open_.select("a", "b", "estimate").unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate"))
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate"))
     best = ends.groupBy("a").agg(F.max_by("b", "estimate").alias("b"))
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialize(pairs.where("sure").select("a", "b").unionByName(verified(best, sets)), "links")
+    links = materialize(verified(best, texts), "links")
     parts = materialize(components(links), "parts")
     of = lambda s: parts.select(F.col("node").alias(s), F.col("component").alias(f"p{s}"))
-    apart = open_.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = apart.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
-    more = materialize(verified(apart, sets), "more")
+    more = materialize(verified(apart, texts), "more")
     parts2 = materialize(components(links.unionByName(more)), "parts")
-    release(sets, pairs, links, more, parts)
+    release(texts, pairs, links, more, parts)
     classes = classes.join(parts2, F.col("c") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("component", "c").alias("component_id"))
     out = rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
