@@ -63,8 +63,8 @@ def chunk_points(points: DataFrame, trajectory: DataFrame, length: float, least:
     ends = points.groupBy(*keys).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
     own = trajectory.crossJoin(F.broadcast(ends)) if not keys else range_join(trajectory, ends, t, "_a", "_b", max(width, 1), closed="both")
     own = own.where(F.col(t).between(F.col("_a"), F.col("_b"))).select(*keys, t, *xy)
-    path = path_length(own, t, xy, block, keys)
-    chunks = chunk_intervals(path, length, least, block, keys, t)
+    path = path_length(own, t, xy, block, keys).persist()  # read several times below; a row per pose
+    chunks = chunk_intervals(path, length, least, block, keys, t).persist()  # a row per chunk
     out = range_join(points, chunks, t, "t_lo", "t_hi", width, tuple(keys)).drop("t_lo", "t_hi")
     if min_points > 1:
         full = out.groupBy(*keys, "chunk_k").count().where(F.col("count") >= min_points).drop("count")
