@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-KEPT, KEPT_CHARS = 200_000, 48  # entries of the table of cut results, and their longest text
+KEPT, KEPT_CHARS = 400_000, 48  # entries of a worker's tables of results, and their longest text
 
 
 def load(path: str = VOCABULARY) -> dict:
@@ -76,6 +76,19 @@ def _settings(proto: bytes) -> dict:
     return {"bpe": trainer.get(3, 1) == 2, "prefix": bool(normal.get(3, 1)), "trim": bool(normal.get(4, 1))}
 
 
+def merged(text: str, ids: dict[str, int], rank: list[int]) -> tuple[list[str], list[str]]:
+    """The merges of a short text one by one, the least rank first and then the leftmost; and the state before the
+    last merge."""
+    parts = before = list(text)
+    while len(parts) > 1:
+        found = [(rank[i], n) for n, pair in enumerate(zip(parts, parts[1:], strict=False)) if (i := ids.get("".join(pair))) is not None]
+        if not found:
+            break
+        n = min(found)[1]
+        before, parts = parts, [*parts[:n], "".join(parts[n : n + 2]), *parts[n + 2 :]]
+    return parts, before
+
+
 class Coder:
     def __init__(self, vocabulary: dict):
         import ahocorasick
@@ -84,8 +97,13 @@ class Coder:
         self.prefix, self.trim = vocabulary["prefix"], vocabulary["trim"]
         special = set(vocabulary["special"]) | set(self.byte_ids.values())
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
+        self.chars = {c for p in self.ids for c in p}
+        used = dict(self.ids)
+        if self.bpe:
+            self._plan_merges()
+            used = {p: i for p, i in used.items() if self.left[i] is not None}  # others never come out of the merges
         self.automaton = ahocorasick.Automaton()
-        for p, i in self.ids.items():
+        for p, i in used.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         joined = {c for p in self.ids if len(p) > 1 for c in p}
@@ -95,67 +113,117 @@ class Coder:
             alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
             self.cuts = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.kept: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         raw = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.raw = [raw.get(i, b"" if i in special else p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
 
-    def _merged(self, text: str) -> list[str]:
-        """The merges of a short text, best score first and then leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            found = [(-self.scores[i], n) for n, pair in enumerate(zip(parts, parts[1:], strict=False)) if (i := self.ids.get("".join(pair))) is not None]
-            if not found:
-                break
-            n = min(found)[1]
-            parts[n : n + 2] = ["".join(parts[n : n + 2])]
-        return parts
+    def _plan_merges(self) -> None:
+        """Each piece's rank in the order of merges and the two pieces of its own last merge; characters come
+        before all merges and are their own parts."""
+        n = len(self.pieces)
+        order = sorted(self.ids.values(), key=lambda i: (len(self.pieces[i]) > 1, -self.scores[i], i))
+        self.rank = [n] * n
+        for r, i in enumerate(order):
+            self.rank[i] = r
+        self.left: list = [None] * n
+        self.right: list = [None] * n
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.left[i] = self.right[i] = i
+            else:
+                parts, before = merged(p, self.ids, self.rank)
+                if len(parts) == 1 and all(x in self.ids for x in before):
+                    self.left[i], self.right[i] = (self.ids[x] for x in before)
 
     def _compatible(self, a: int, b: int) -> bool:
-        """Whether pieces a, b stay as they are when their text is merged anew."""
-        key = (a, b)
-        if key not in self.pairs:
-            if len(self.pairs) >= KEPT:
-                self.pairs.clear()
-            first, second = (self.pieces[a] if a >= 0 else "", self.pieces[b])
-            self.pairs[key] = self._merged(first + second) == [x for x in (first, second) if x]
-        return self.pairs[key]
+        """Whether no merge crosses the border between pieces a and b.
 
-    def _path(self, text: str) -> list[int]:
-        """The best path over a text's characters, as ids."""
-        n = len(text)
+        Both pieces are taken apart from the last merge back, always the younger part first; the parts at the
+        border must not form a piece that would have merged before they grew."""
+        pieces, ids, rank, left, right = self.pieces, self.ids, self.rank, self.left, self.right
+        limit = len(pieces)
+        while True:
+            both = ids.get(pieces[a] + pieces[b])
+            if both is not None and rank[both] < limit:
+                return False
+            if rank[a] > rank[b] and right[a] != a:
+                limit, a = rank[a], right[a]
+            elif left[b] != b:
+                limit, b = rank[b] + 1, left[b]
+            elif right[a] != a:
+                limit, a = rank[a], right[a]
+            else:
+                return True
+
+    def _merge_path(self, text: str) -> list[int]:
+        """BPE: at each end the one piece that fits the best path of what precedes it."""
+        n, pairs, many = len(text), self.pairs, len(self.pieces)
+        last, size = [-1] * (n + 1), [0] * (n + 1)
+        for end, (k, i) in self.automaton.iter(text):
+            end += 1
+            if size[end]:
+                continue
+            if k < end:
+                before = last[end - k]
+                if before < 0:
+                    continue
+                key = before * many + i
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) >= KEPT:
+                        pairs.clear()
+                    fits = pairs[key] = self._compatible(before, i)
+                if not fits:
+                    continue
+            last[end], size[end] = i, k
+        if not size[n]:  # a character that is a piece's part but no piece
+            return [self.ids.get(x, self.unknown) for x in merged(text, self.ids, self.rank)[0]]
+        return self._back(last, size)
+
+    def _score_path(self, text: str) -> list[int]:
+        """Unigram: the path of greatest total score.  A character without a piece costs more than any piece."""
+        n, scores = len(text), self.scores
+        none = min(scores) - 10.0
         best, last, size = [-np.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
-        at = 0  # ends before this have been relaxed
-        ends: dict[int, list[tuple[int, int]]] = {}
-        for end, out in self.automaton.iter(text):
-            ends.setdefault(end + 1, []).append(out)
-        for end in range(1, n + 1):
-            for k, i in ends.get(end, ()):
-                start = end - k
-                if best[start] == -np.inf:
-                    continue
-                if self.bpe:  # the one compatible piece; its score needs no comparing
-                    if not self._compatible(last[start] if start else -1, i) or not self._compatible(-1, i):
-                        continue
-                value = best[start] + self.scores[i]
-                if value > best[end] or best[end] == -np.inf:
-                    best[end], last[end], size[end] = value, i, k
-            if best[end] == -np.inf and not any(k == 1 for k, _ in ends.get(end, ())):  # no piece has this character
-                best[end], last[end], size[end] = best[end - 1] - 1e6 if best[end - 1] > -np.inf else -np.inf, -2, 1
-            at = end
-        assert at == n
-        ids: list[int] = []
+        done = 0
+        for end, (k, i) in self.automaton.iter(text):
+            end += 1
+            while done < end - 1:  # ends that no piece reaches
+                done += 1
+                if best[done - 1] + none > best[done]:
+                    best[done], last[done], size[done] = best[done - 1] + none, self.unknown, 1
+            value = best[end - k] + scores[i]
+            if value > best[end]:
+                best[end], last[end], size[end] = value, i, k
+        while done < n:
+            done += 1
+            if best[done - 1] + none > best[done]:
+                best[done], last[done], size[done] = best[done - 1] + none, self.unknown, 1
+        return self._back(last, size)
+
+    @staticmethod
+    def _back(last: list[int], size: list[int]) -> list[int]:
+        ids, n = [], len(last) - 1
         while n:
-            if size[n] == 0:
-                raise ValueError("no path")
-            if last[n] == -2:
-                data = text[n - 1].encode()
-                ids += [self.byte_ids[b] for b in reversed(data)] if self.byte_ids else [self.unknown]
-            else:
-                ids.append(last[n])
+            ids.append(last[n])
             n -= size[n]
         return ids[::-1]
 
+    def _path(self, text: str) -> list[int]:
+        """The best path over a text, as ids; characters of no piece become bytes."""
+        path = self._merge_path if self.bpe else self._score_path
+        if self.chars.issuperset(text):
+            return path(text)
+        ids: list[int] = []
+        start = 0
+        for at, c in enumerate(text):
+            if c not in self.chars:
+                ids += path(text[start:at]) if at > start else []
+                ids += [self.byte_ids[b] for b in c.encode()] if self.byte_ids else [self.unknown]
+                start = at + 1
+        return ids + (path(text[start:]) if start < len(text) else [])
+
     def _cut(self, text: str) -> bytes:
         out = self.kept.get(text)
         if out is None:
@@ -182,6 +250,17 @@ class Coder:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+_CODERS: dict = {}  # of a worker, by broadcast
+
+
+def _coder(shared) -> Coder:
+    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) is not None else shared._path
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Coder(shared.value)
+    return _CODERS[key]
+
+
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, decoded: bool = True) -> DataFrame:
     """Adds pieces array<int>, and with `decoded` the text that they give back, to every row."""
     from pyspark.sql import types as T
@@ -192,7 +271,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY
     schema = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
+        coder = _coder(shared)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
