@@ -33,26 +33,20 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKEN, fold, materialize, new_path, words
+from .common import fold, materialize, new_path
+from .tokens import hashes, mix, slices
 
-PRIOR = 30.0
+PRIOR = 100.0
 BITS = 12  # shards are ranges of 2**BITS buckets
 SPREAD = 64  # buckets over which one context's successors lie
 LEVELS = 256
-SLICE = 300_000  # tokens handled at once
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def bucket(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The bucket of a pair of word hashes."""
-    part = _mix(word) % np.uint64(SPREAD)
-    return (_mix(context + part * _GOLD) >> np.uint64(64 - BITS)).astype(np.int32)
+    part = mix(word) % np.uint64(SPREAD)
+    return (mix(context + part * _GOLD) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 class EliasFano:
@@ -215,21 +209,14 @@ class Words:
         return np.log10(count + 0.5) - np.log10(self.total + 0.5 * (self.known + 1))
 
 
-def _hashed(docs: DataFrame, text_col: str, *keep) -> DataFrame:
-    """Token hashes of every text, the end token last."""
-    end = F.array(F.xxhash64(F.lit(" ")))  # no token holds a space
-    return docs.select(*keep, F.concat(F.transform(words(F.col(text_col), TOKEN), lambda w: F.xxhash64(w)), end).alias("_t"))
+def _texts(docs: DataFrame, text_col: str, *keep) -> DataFrame:
+    return docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
 
 
-def _slices(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tokens, lengths) of some rows at a time."""
-    ends = column.offsets.to_numpy()
-    values = column.values.to_numpy().view(np.uint64)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, side="right")) - 1)
-        yield values[ends[at] : ends[to]], np.diff(ends[at : to + 1])
-        at = to
+def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(token hashes with an end token per text, lengths) of some rows at a time."""
+    for raw, rows in slices(batch.column("_t")):
+        yield hashes(raw, rows, end=True)
 
 
 def _pairs(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -284,14 +271,14 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     """Count, write both levels and return what scorers need to open them: a few values per shard."""
     spark = docs.sparkSession
     root = new_path(spark, "ngram")
-    tokens = _hashed(docs, text_col)
+    tokens = _texts(docs, text_col)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Combiner()
         out = lambda x: _batch(["b", "w", "n"], (x[0] >> np.uint64(64 - BITS)).astype(np.int32), x[0].view(np.int64), x[2])
         for batch in batches:
-            for t, _ in _slices(batch.column("_t")):
+            for t, _ in _tokens(batch):
                 for x in held.add(t, np.zeros(len(t), dtype=np.uint8)):
                     yield out(x)
         for x in held.flush():
@@ -318,7 +305,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
         held = _Combiner()
         out = lambda x: _batch(["b", "c", "w", "n"], bucket(x[0], x[1]), x[0].view(np.int64), x[1].view(np.int64), x[2])
         for batch in batches:
-            for t, lengths in _slices(batch.column("_t")):
+            for t, lengths in _tokens(batch):
                 at = np.flatnonzero(_pairs(t, lengths))
                 for x in held.add(t[at - 1], t[at]):
                     yield out(x)
@@ -434,12 +421,12 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            got = [(lengths.astype(np.int64), *scorer.score(t, lengths)) for t, lengths in _slices(batch.column("_t"))]
+            got = [(lengths.astype(np.int64), *scorer.score(t, lengths)) for t, lengths in _tokens(batch)]
             cols = [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
             yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, cols)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = _hashed(docs, text_col, F.col(id_col).alias("id"))
+    rows = _texts(docs, text_col, F.col(id_col).alias("id"))
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
