@@ -73,8 +73,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the smallest node.
 
     Alternates large-star and small-star contraction.  Each pass aggregates a minimum per node (combined
-    before the shuffle) and joins it back, so a node of huge degree is an ordinary skewed join.
-    Nodes without an edge are not returned.
+    before the shuffle) and joins it back.  The minima are written first, so that a node of huge degree is a
+    skewed join between two plain shuffles, which adaptive execution splits.  Nodes without an edge are not
+    returned.
     """
     e = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -82,17 +83,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
         nxt = materialize(small.where("u <> v").distinct(), "small")
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(e, large)
+        release(e, large, low, low2)
         e = nxt
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -90,10 +90,11 @@ def proposals(classes: DataFrame, k: int = K, short: int = SHORT) -> DataFrame:
     estimate."""
     posts = classes.select(F.explode("sketch").alias("v"), "c")
     # most values belong to one class; only the others make lists
-    lists = posts.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
+    # (written first, so that the join below is one that adaptive execution can split)
+    lists = materialize(posts.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v"), "lists")
     posts = materialize(posts.join(lists, "v", "left_semi"), "posts")
     head = lambda *by: F.min_by("c", F.xxhash64("c", *by))
-    heads = posts.groupBy("v").agg(F.count("*").alias("m"), head().alias("r0"), head("v").alias("r1"), head("v", F.lit(1)).alias("r2"))
+    heads = materialize(posts.groupBy("v").agg(F.count("*").alias("m"), head().alias("r0"), head("v").alias("r1"), head("v", F.lit(1)).alias("r2")), "heads")
     listed = posts.join(heads, "v")
     stars = listed.where(F.col("m") > short).select("c", F.explode(F.array("r0", "r1", "r2")).alias("r"))
     small = listed.where(F.col("m") <= short).select("v", "c")
@@ -111,7 +112,7 @@ def proposals(classes: DataFrame, k: int = K, short: int = SHORT) -> DataFrame:
     t = NUMERATOR / DENOMINATOR
     near = F.col("i") / F.col("m") >= t - SIGMAS * F.sqrt(t * (1 - t) / F.col("m"))
     out = materialize(rows.where(near).select("a", "b", (F.col("i") / F.col("m")).alias("estimate")), "pairs")
-    release(posts)
+    release(lists, posts, heads)
     return out
 
 
