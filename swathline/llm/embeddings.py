@@ -53,7 +53,10 @@ def learn(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 3)
 
 def fit(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Learn on a sample of usable vectors (id, v); of several lengths the commonest is taken."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
+    rows = vectors.select(F.xxhash64("vec_id", "v").alias("o"), "v")
+    last = rows.select("o").orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+    rows = rows.where(F.col("o") <= last).limit(sample).collect() if last is not None else []
+    rows.sort()
     by: dict[int, list] = {}
     for r in rows:
         by.setdefault(len(r["v"]), []).append(r["v"])

@@ -25,6 +25,7 @@ BUCKETS, DIM = 1 << 15, 12
 SAMPLE = 4000  # labelled texts, at most, that the driver trains on
 EPOCHS, BATCH, RATE = 10, 32, 0.5
 REJECTED = 0.0005  # share of held-out sample texts that may fall under the least score
+MOST_LEAST = 0.4  # the least score is never above this, however few texts set it
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -94,7 +95,7 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> dict:
 
     loss = lambda t: -np.log(chance(t)[np.arange(len(held)), y[held]] + 1e-12).mean()
     temperature = min((float(t) for t in np.geomspace(0.05, 20, 60)), key=loss) if len(held) else 1.0
-    least = float(np.quantile(chance(temperature).max(1), REJECTED)) * 0.9 if len(held) else 0.0
+    least = min(float(np.quantile(chance(temperature).max(1), REJECTED)), MOST_LEAST) if len(held) else 0.0
     return {"labels": names, "weights": weights.astype(np.float32), "bias": bias, "temperature": temperature, "least": least}
 
 
@@ -115,9 +116,13 @@ def predict(model: dict, text: str | None) -> tuple[str, float]:
 
 
 def fit(labelled: DataFrame, text: Column, label: Column, order: Column, sample: int = SAMPLE) -> dict:
-    """Train on at most `sample` rows whose text and label aren't null, the first by `order`."""
+    """Train on the first `sample` rows by `order` (a number) whose text and label aren't null, with rows that tie with
+    the last, up to as many again."""
     rows = labelled.select(text.cast("string").alias("t"), label.cast("string").alias("l"), order.alias("o")).where("t is not null and l is not null")
-    got = rows.orderBy("o", F.xxhash64("t"), "t").limit(sample).select("t", "l").collect()
+    # the place of the last of the sample first, so that texts of other rows never leave their tasks
+    last = rows.select("o").orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+    got = rows.where(F.col("o") <= last).select("t", "l").limit(2 * sample).collect() if last is not None else []
+    got.sort()
     return train([r["t"] for r in got], [r["l"] for r in got])
 
 
