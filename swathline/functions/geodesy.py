@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rotations import enu_ned, mat_mul, mat_vec, ned_to_ecef, sub, transpose
@@ -61,17 +61,32 @@ def swiss_projection(lat, lon) -> Sequence[Column]:
     return [SWISS_EAST + radius * l_, SWISS_NORTH + radius / 2 * F.log((1 + F.sin(b_)) / (1 - F.sin(b_)))]
 
 
-def ecef_to_swiss(x, y, z, height: str = "local") -> Sequence[Column]:
-    """Global earth-fixed coordinates to the Swiss grid.  height: `local` is above the local ellipsoid, `global`
-    above the global one."""
-    lat, lon, h = ecef_to_geodetic(x + SWISS_SHIFT[0], y + SWISS_SHIFT[1], z + SWISS_SHIFT[2], BESSEL)
+def with_swiss(df: DataFrame, xyz: tuple[str, str, str], out: tuple[str, str, str], height: str = "local") -> DataFrame:
+    """Adds grid coordinates of global earth-fixed columns.  height: `local` is above the local ellipsoid, `global` above
+    the global one.
+
+    Goes by steps: an expression that names its parts several times grows with each level, columns don't."""
+    kept = [c for c in df.columns if c not in out]
+    rows = df.withColumns({f"_s{i}": F.col(c) + d for i, (c, d) in enumerate(zip(xyz, SWISS_SHIFT, strict=True))})
+    rows = _with_geodetic(rows, ("_s0", "_s1", "_s2"), ("_lat", "_lon", "_h"), BESSEL)
     if height == "global":
-        h = ecef_to_geodetic(x, y, z)[2]
-    return [*swiss_projection(lat, lon), h]
+        rows = _with_geodetic(rows.drop("_h"), xyz, ("_glat", "_glon", "_h"), WGS84)
+    e, n = swiss_projection(F.col("_lat"), F.col("_lon"))
+    return rows.select(*kept, e.alias(out[0]), n.alias(out[1]), F.col("_h").alias(out[2]))
 
 
-def geodetic_to_swiss(lat, lon, alt, height: str = "local") -> Sequence[Column]:
-    return ecef_to_swiss(*geodetic_to_ecef(lat, lon, alt), height=height)
+def _with_geodetic(df: DataFrame, xyz: tuple[str, str, str], out: tuple[str, str, str], ellipsoid) -> DataFrame:
+    a, f = ellipsoid
+    b, e2 = a * (1 - f), f * (2 - f)
+    x, y, z = map(F.col, xyz)
+    rows = df.withColumn("_p", F.sqrt(x * x + y * y)).withColumn("_beta", F.atan2(z * a, F.col("_p") * b))
+    for last in (False, True):
+        lat = F.atan2(z + e2 / (1 - e2) * b * F.pow(F.sin("_beta"), 3), F.col("_p") - e2 * a * F.pow(F.cos("_beta"), 3))
+        rows = rows.withColumn(out[0], lat)
+        if not last:
+            rows = rows.withColumn("_beta", F.atan2((1 - f) * F.sin(out[0]), F.cos(out[0])))
+    alt = F.col("_p") * F.cos(out[0]) + z * F.sin(out[0]) - a * F.sqrt(1 - e2 * F.sin(out[0]) * F.sin(out[0]))
+    return rows.withColumns({out[1]: F.atan2(y, x), out[2]: alt}).drop("_p", "_beta")
 
 
 def ecef_to_enu(point: Sequence, origin: Sequence, lat, lon) -> Sequence[Column]:

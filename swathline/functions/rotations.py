@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vector = Sequence
@@ -177,6 +177,20 @@ def slerp(p: Vector, q: Vector, u) -> Vector:
     return normalized([a * x + b * y for x, y in zip(p, q, strict=True)])
 
 
+def with_slerp(df: DataFrame, p: Sequence[str], q: Sequence[str], u: Column, out: Sequence[str]) -> DataFrame:
+    """slerp() of named columns by steps, which keeps the plan small."""
+    a, b = [F.col(c) for c in p], [F.col(c) for c in q]
+    rows = df.withColumns({"_u": u, "_dot": sum(x * y for x, y in zip(a, b, strict=True))})
+    rows = rows.withColumn("_arc", F.acos(F.least(F.abs("_dot"), F.lit(1.0)))).withColumn("_sin", F.sin("_arc"))
+    small = F.least(F.abs("_dot"), F.lit(1.0)) > 1 - 1e-12
+    fa = F.when(small, 1 - F.col("_u")).otherwise(F.try_divide(F.sin((1 - F.col("_u")) * F.col("_arc")), F.col("_sin")))
+    fb = F.when(F.col("_dot") < 0, -1.0).otherwise(1.0) * F.when(small, F.col("_u")).otherwise(F.try_divide(F.sin(F.col("_u") * F.col("_arc")), F.col("_sin")))
+    rows = rows.withColumns({"_fa": fa, "_fb": fb})
+    rows = rows.withColumns({c: F.col("_fa") * x + F.col("_fb") * y for c, x, y in zip(out, a, b, strict=True)})
+    rows = rows.withColumn("_norm", norm([F.col(c) for c in out]))
+    return rows.withColumns({c: F.try_divide(F.col(c), F.col("_norm")) for c in out}).drop("_u", "_dot", "_arc", "_sin", "_fa", "_fb", "_norm")
+
+
 def rotation_vector(r: Matrix) -> Vector:
     """Logarithm of a rotation matrix, for angles below pi."""
     r = [[col(x) for x in row] for row in r]

@@ -57,14 +57,15 @@ def georeference(vectors: DataFrame, trajectory: DataFrame, sensor_to_body, leve
     body = rot.add(turned, list(map(float, lever_arm)))
     q = [F.col(f"trj_{c}") for c in ("qw", "qx", "qy", "qz")]
     ecef = rot.add(rot.mat_vec(rot.quaternion_to_matrix(q), body), [F.col(f"trj_{c}") for c in ("ex", "ey", "ez")])
-    if frame == "enu":
-        lat, lon, alt = (F.lit(float(c)) for c in origin)
-        xyz = geodesy.ecef_to_enu(ecef, geodesy.geodetic_to_ecef(lat, lon, alt), lat, lon)
-    else:
-        xyz = geodesy.ecef_to_swiss(*ecef, height=height) if frame == "swiss" else ecef
-    out = {"x": xyz[0], "y": xyz[1], "z": xyz[2], "intensity": scalars.range_corrected(F.col("intensity_raw"), rot.norm(v))}
+    out = dict(zip(("x", "y", "z"), ecef, strict=True)) | {"intensity": scalars.range_corrected(F.col("intensity_raw"), rot.norm(v))}
     extra = dict(zip(("lvx", "lvy", "lvz"), turned, strict=True)) if body_vector else {}
-    return rows.select(*vectors.columns, *(c.alias(n) for n, c in (out | extra).items()))
+    rows = rows.select(*vectors.columns, *(rot.col(c).alias(n) for n, c in (out | extra).items()))
+    if frame == "enu":
+        lat, lon, alt = map(float, origin)
+        at = geodesy.geodetic_to_ecef(F.lit(lat), F.lit(lon), F.lit(alt))
+        xyz = geodesy.ecef_to_enu([F.col(c) for c in "xyz"], at, lat, lon)
+        return rows.withColumns(dict(zip(("x", "y", "z"), xyz, strict=True)))
+    return geodesy.with_swiss(rows, ("x", "y", "z"), ("x", "y", "z"), height) if frame == "swiss" else rows
 
 
 def normalize_intensity(points: DataFrame, value: str = "intensity", keys: list[str] = ("file",), index: str | None = None, block_rows: int = 10_000_000, low: float = 0.05, high: float = 0.95) -> DataFrame:

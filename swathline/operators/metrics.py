@@ -58,7 +58,7 @@ def histogram(rows: DataFrame, value: str, bins: int, keys: list[str] = ()) -> D
     """Counts over equal bins between the least and greatest of all values; the last bin is closed."""
     ends = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     step = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.least(F.floor((F.col(value) - F.col("_lo")) / F.nullif(step, F.lit(0.0))), F.lit(bins - 1))
+    b = F.when(step > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / F.nullif(step, F.lit(0.0))), F.lit(bins - 1)))
     out = rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).withColumn("bin", F.coalesce(b, F.lit(0)).cast("int"))
     return out.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
 

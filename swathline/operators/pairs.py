@@ -104,4 +104,5 @@ def match_clouds(first: DataFrame, second: DataFrame, keys: list[str], cfg: dict
         out = matcher(a, b, cfg)
         return pd.concat([pd.DataFrame({k: [v] * len(out) for k, v in zip(keys, key, strict=True)}), out.reset_index(drop=True)], axis=1)
 
+    second = second.select(*(F.col(c).alias(c) for c in second.columns))  # both may come from one frame
     return first.groupBy(*keys).cogroup(second.groupBy(*keys)).applyInPandas(run, schema)

@@ -181,14 +181,14 @@ def longest(ring: np.ndarray, start: np.ndarray, end: np.ndarray, width: float,
 PATCHES = "patch_id int, line int, x double, y double, cx double, cy double, dx double, dy double, length double, width double, corners array<array<double>>"
 
 
-def zone_patches(cells: DataFrame, g: Grid, keys: list[str], length: float, width: float, every: float, lines: int = 1, offset: float = 0.0) -> DataFrame:
+def zone_patches(cells: DataFrame, g: Grid, keys: list[str], length: float, width: float, every: float, lines: int = 1, offset: float = 0.0, search: float = 100.0) -> DataFrame:
     """Patches of every zone (keys, row, col): outline of its largest component, axis, series."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         c = rows[["row", "col"]].to_numpy()
         c = c[largest_component(c)]
         axis = axis_of(np.column_stack([g.x0 + (c[:, 1] + 0.5) * g.res, g.y0 - (c[:, 0] + 0.5) * g.res]))
-        found = series(outline(c, g), *axis, length, width, every, lines, offset) if axis else []
+        found = series(outline(c, g), *axis, length, width, every, lines, offset, search=search) if axis else []
         key = {k: rows[k].iloc[0] for k in keys}
         out = []
         for p in found:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +47,21 @@ def interpolate(points: DataFrame, trajectory: DataFrame, values: list[str], wid
     u = F.when(last, F.lit(0.0)).otherwise((F.col("_at") - F.col("t0")) / F.nullif(F.col("t1") - F.col("t0"), F.lit(0)))
     out = [(F.col(f"{v}0") + (F.col(f"{v}1") - F.col(f"{v}0")) * u).alias(f"trj_{v}") for v in values]
     if attitude:
-        turned = rot.slerp([F.col(f"{c}0") for c in q], [F.col(f"{c}1") for c in q], u)
-        out += [x.alias(f"trj_{c}") for x, c in zip(turned, q, strict=True)]
+        met = rot.with_slerp(met, [f"{c}0" for c in q], [f"{c}1" for c in q], u, [f"trj_{c}" for c in q])
+        out += [F.col(f"trj_{c}") for c in q]
     return met.select(*points.columns, *out)
 
 
 def with_ecef_attitude(trajectory: DataFrame) -> DataFrame:
     """Adds body-to-earth quaternions from lat, lon (radians) and roll, pitch, heading."""
-    local = rot.matrix_to_quaternion(rot.ned_to_ecef(F.col("lat"), F.col("lon")))
-    q = rot.multiply(local, rot.euler_to_quaternion(F.col("roll"), F.col("pitch"), F.col("heading")))
-    return trajectory.withColumns(dict(zip(QUATERNION, q, strict=True)))
+    lat, lon = F.col("lat"), F.col("lon")
+    # north-east-down to earth-fixed is a turn by lon about z, then by -lat - 90 degrees about y
+    turn = [F.cos(lon / 2), F.lit(0.0), F.lit(0.0), F.sin(lon / 2)]
+    tilt = [F.cos(lat / 2 + math.pi / 4), F.lit(0.0), -F.sin(lat / 2 + math.pi / 4), F.lit(0.0)]
+    own = rot.euler_to_quaternion(F.col("roll"), F.col("pitch"), F.col("heading"))
+    rows = trajectory.withColumns({f"_l{i}": c for i, c in enumerate(rot.multiply(turn, tilt))} | {f"_o{i}": c for i, c in enumerate(own)})
+    q = rot.multiply([F.col(f"_l{i}") for i in range(4)], [F.col(f"_o{i}") for i in range(4)])
+    return rows.withColumns(dict(zip(QUATERNION, q, strict=True))).drop(*(f"_{n}{i}" for n in "lo" for i in range(4)))
 
 
 def compare(reference: DataFrame, other: DataFrame, compat: bool = False) -> DataFrame:

@@ -1,7 +1,8 @@
-"""The survey pipeline as lazy steps: georeference, merge, chunk, match.
+"""The survey pipeline: georeference, merge, chunk, match.
 
-Each step takes and returns DataFrames; only sinks and checks that must fail loudly start jobs.  Times are
-seconds.
+Each step takes and returns DataFrames.  A step's result goes through a store, which writes it to a folder (or, by
+default, keeps it in the session): later steps then read columns, and don't carry the expressions that made them.
+Times are seconds.
 """
 
 from __future__ import annotations
@@ -21,15 +22,29 @@ BLOCK = 3600.0  # seconds of a trajectory that one task orders
 WIDTH = 1.0  # seconds of the narrowest time bucket
 
 
+def keep(name: str, df: DataFrame) -> DataFrame:
+    """The default store."""
+    return df.persist()
+
+
+def folder(path: str) -> Callable[[str, DataFrame], DataFrame]:
+    """A store that writes Parquet below a path."""
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return df.sparkSession.read.parquet(f"{path}/{name}")
+
+    return put
+
+
 def prepared_trajectory(trajectory: DataFrame) -> DataFrame:
     """Earth-fixed positions and attitudes of poses given as lat, lon, alt, roll, pitch, heading; map coordinates besides."""
     ecef = geodesy.geodetic_to_ecef(F.col("lat"), F.col("lon"), F.col("alt"))
     rows = with_ecef_attitude(trajectory.withColumns(dict(zip(("ex", "ey", "ez"), ecef, strict=True))))
-    e, n, h = geodesy.ecef_to_swiss(F.col("ex"), F.col("ey"), F.col("ez"))
-    return rows.withColumns({"x": e, "y": n, "z": h})
+    return geodesy.with_swiss(rows, ("ex", "ey", "ez"), ("x", "y", "z"))
 
 
-def georef(cfg: Pipeline, scanner: Scanner, vectors: DataFrame, trajectory: DataFrame, check: bool = True) -> DataFrame:
+def georef(cfg: Pipeline, scanner: Scanner, vectors: DataFrame, trajectory: DataFrame, store: Callable = keep) -> DataFrame:
     """Map points of one scanner's vectors."""
     rows = vectors.where(scalars.finite(*(F.col(c) for c in ("t", "sx", "sy", "sz"))))
     rows = clouds.day_shift(rows, trajectory, keys=["file"], leap=scanner.leapsec or 0).drop("day_shift")
@@ -37,10 +52,10 @@ def georef(cfg: Pipeline, scanner: Scanner, vectors: DataFrame, trajectory: Data
         rows = rows.where(scalars.any_window(F.col("t"), [tuple(cfg.outage)], cfg.window.margin_s))
     ends = trajectory.agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
     rows = rows.crossJoin(F.broadcast(ends)).where("t between _lo and _hi").drop("_lo", "_hi")
-    if check:
-        clouds.required(rows, f"{scanner.name}: no vector within the trajectory and window")
+    clouds.required(rows, f"{scanner.name}: no vector within the trajectory and window")
     turn = rot.sensor_to_body(*scanner.boresight, scanner.r_mount)
     points = clouds.georeference(rows, trajectory, turn, scanner.lever_arm, WIDTH, BLOCK, cfg.frame, cfg.origin, body_vector=scanner.body_vector)
+    points = store(f"georef_{scanner.name}", points)
     if cfg.distance.enable:
         points = clouds.near_trajectory(points, trajectory, cfg.distance.max_distance_m, WIDTH, BLOCK).drop("distance")
     return points.withColumn("scanner_src", F.lit(scanner.source).cast("short"))
@@ -105,18 +120,20 @@ def spatial_pairs(cfg: Spatial, forward: DataFrame, backward: DataFrame, traject
     return pairs.match_clouds(keep(fwd), keep(bwd), ["pair", "chunk_k"], scalars.uncertainty({}, scalar=cfg.uncertainty_r), matcher)
 
 
-def run(cfg: Pipeline, vectors: dict[str, DataFrame], trajectory: DataFrame, matcher: Callable = pairs.nearest_matcher) -> dict[str, DataFrame]:
+def run(cfg: Pipeline, vectors: dict[str, DataFrame], trajectory: DataFrame, matcher: Callable = pairs.nearest_matcher, store: Callable = keep) -> dict[str, DataFrame]:
     """All enabled steps.  vectors: laser vectors with scan_id, by scanner name."""
     out: dict[str, DataFrame] = {"trajectory": trajectory}
     found = {}
     if cfg.steps["georef"]:
-        found = {s.name: georef(cfg, s, vectors[s.name], trajectory) for s in cfg.scanners}
+        found = {s.name: georef(cfg, s, vectors[s.name], trajectory, store) for s in cfg.scanners}
         out |= {f"points_{n}": p for n, p in found.items()}
     if cfg.steps["merge"]:
         vux = [found[n] for n in (cfg.merge.vux or [n for n in found if n != cfg.merge.puck])]
-        out["merged"], out["manifest"] = merge(cfg.merge, clouds.union_clouds(*vux), found.get(cfg.merge.puck or ""))
+        merged, out["manifest"] = merge(cfg.merge, clouds.union_clouds(*vux), found.get(cfg.merge.puck or ""))
+        out["merged"] = store("merged", merged)
     if cfg.steps["chunk"]:
-        out["chunks"], out["boxes"] = chunk(cfg.chunk, out["merged"], trajectory)
+        chunks, boxes = chunk(cfg.chunk, out["merged"], trajectory)
+        out["chunks"], out["boxes"] = store("chunks", chunks), store("boxes", boxes)
         out["pairs"] = chunk_pairs(cfg.chunk.match, out["boxes"])
         m = cfg.chunk.match
         settings = scalars.uncertainty({}, m.uncertainty_r_min, m.uncertainty_r_max, m.uncertainty_r)

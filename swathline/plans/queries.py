@@ -513,7 +513,7 @@ def largest_component(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def patch_series(spark: SparkSession, d: str) -> DataFrame:
-    return patches.zone_patches(_zones(spark, d), GRID, ["fi", "fj"], 30.0, 20.0, 15.0, lines=3, offset=10.0)
+    return patches.zone_patches(_zones(spark, d), GRID, ["fi", "fj"], 30.0, 20.0, 15.0, lines=3, offset=10.0, search=5.0)
 
 
 # --- ordered rows ----------------------------------------------------------------------------------------------
@@ -656,8 +656,9 @@ SELECT point_id, round(2600000 + {RB} * atan2(sin(l), {math.sin(B0)} * tan(bb) +
   round(p * cos(lat) + z * sin(lat) - {AB} * sqrt(1 - {E2B} * sin(lat) * sin(lat)), 4) AS height FROM q""")
 def swiss_grid(spark: SparkSession, d: str) -> DataFrame:
     g = _geodetic(spark, d)
-    xyz = geodesy.geodetic_to_swiss(F.col("lat"), F.col("lon"), F.col("alt"))
-    return rounded(g.select("point_id", *(c.alias(n) for c, n in zip(xyz, ("east", "north", "height"), strict=True))), 4)
+    xyz = geodesy.geodetic_to_ecef(F.col("lat"), F.col("lon"), F.col("alt"))
+    c = g.select("point_id", *(x.alias(n) for x, n in zip(xyz, ("ex", "ey", "ez"), strict=True)))
+    return rounded(geodesy.with_swiss(c, ("ex", "ey", "ez"), ("east", "north", "height")).select("point_id", "east", "north", "height"), 4)
 
 
 MOUNT = [[0.0, 1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, -1.0]]
