@@ -738,3 +738,70 @@ def relative_time(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("scan")
     p = points(spark, d).withColumn("rel", (F.col("t") - F.min("t").over(w)) / 1e6)
     return rounded(p.groupBy("scan").agg(F.max("rel").alias("span"), F.count("*").alias("n")), 3)
+
+
+# --- comparisons, extraction, matching -------------------------------------------------------------------------
+
+
+def _shifted_poses(spark: SparkSession, d: str) -> DataFrame:
+    turn = [math.cos(0.0005), 0.0, 0.0, math.sin(0.0005)]
+    p = _poses(spark, d).withColumns({"lat": F.lit(LAT0), "lon": F.lit(LON0)})
+    q = rot.multiply([F.col(c) for c in trj.QUATERNION], turn)
+    return p.select("t", "lat", "lon", (F.col("ex") + 0.01).alias("ex"), (F.col("ey") - 0.02).alias("ey"), "ez", *(c.alias(n) for c, n in zip(q, trj.QUATERNION, strict=True)))
+
+
+@query(f"""WITH {TRAJECTORY_SQL}, e AS (SELECT t, -0.01 AS dx, 0.02 AS dy FROM trj)
+SELECT count(*) AS n, round(sqrt(avg(power(-sin({LAT0}) * cos({LON0}) * dx - sin({LAT0}) * sin({LON0}) * dy, 2))), 6) AS rmse_north, round(sqrt(avg(power(-sin({LON0}) * dx + cos({LON0}) * dy, 2))), 6) AS rmse_east,
+  round(sqrt(avg(power(-cos({LAT0}) * cos({LON0}) * dx - cos({LAT0}) * sin({LON0}) * dy, 2))), 6) AS rmse_down, round(degrees(0.001), 4) AS q50_yaw FROM e""")
+def trajectory_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of a trajectory against one that is moved and turned by known amounts."""
+    a = _poses(spark, d).withColumns({"lat": F.lit(LAT0), "lon": F.lit(LON0)})
+    e = trj.compare(a, _shifted_poses(spark, d))
+    out = e.agg(F.count("*").alias("n"), *(metrics.rmse(f"d_{c}").alias(f"rmse_{c}") for c in ("north", "east", "down")), F.round(metrics.quantile("d_yaw", 0.5), 4).alias("q50_yaw"))
+    return rounded(out.withColumn("q50_yaw", F.abs("q50_yaw")))
+
+
+@query(f"WITH {ANGLES_SQL} SELECT round(max(abs(w * w + x * x + y * y + z * z - 1)), 9) AS deviation FROM q")
+def orthogonality(spark: SparkSession, d: str) -> DataFrame:
+    m = rot.body_to_ned(F.col("r"), F.col("p"), F.col("h"))
+    names = [[f"m{i}{j}" for j in range(3)] for i in range(3)]
+    rows = _angles(spark, d).select(*(rot.col(m[i][j]).alias(names[i][j]) for i in range(3) for j in range(3)))
+    return rounded(calibration.orthogonality(rows, names), 9)
+
+
+@query(f"WITH {POINTS_SQL} SELECT round(atan2(avg(sin(x / 70)), avg(cos(x / 70))), 6) AS roll, round(atan2(avg(sin(y / 30.0)), avg(cos(y / 30.0))), 6) AS pitch, round(atan2(avg(sin(x / 300)), avg(cos(x / 300))), 6) AS heading, count(*) AS n FROM pts WHERE t BETWEEN {START + 3 * DAY} AND {START + 9 * DAY}")
+def mean_attitude(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d).select("t", (F.col("x") / 70).alias("roll"), (F.col("y") / F.lit(30.0)).alias("pitch"), (F.col("x") / 300).alias("heading"))
+    return rounded(calibration.mean_attitude(p, START + 3 * DAY, START + 9 * DAY))
+
+
+@query(f"WITH {FOOT_SQL} SELECT a.flight AS fi, b.flight AS fj, count(*) AS n FROM fp a JOIN fp b ON a.row = b.row AND a.col = b.col JOIN (SELECT flight AS f, lead(flight) OVER (ORDER BY flight) AS g FROM (SELECT DISTINCT flight FROM fp)) s ON a.flight = f AND b.flight = g GROUP BY 1, 2")
+def successive_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    cells = footprint.overlap_cells(_footprint(spark, d), "successive")
+    return cells.groupBy("fi", "fj").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POINTS_SQL}, a AS (SELECT scan, count(*) AS n, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS th FROM pts GROUP BY scan HAVING count(*) >= 2), e AS (SELECT scan, any_value(mx) AS mx, any_value(my) AS my, any_value(cos(th)) AS ax, any_value(sin(th)) AS ay, min((x - mx) * cos(th) + (y - my) * sin(th)) AS lo, max((x - mx) * cos(th) + (y - my) * sin(th)) AS hi FROM a JOIN pts USING (scan) GROUP BY scan) SELECT scan, CAST(i AS INTEGER) AS i, round(mx + (lo + (hi - lo) * i / 9) * ax, 4) AS x, round(my + (lo + (hi - lo) * i / 9) * ay, 4) AS y FROM e, range(0, 10) r(i)")
+def centreline(spark: SparkSession, d: str) -> DataFrame:
+    axes = footprint.principal_axis(points(spark, d).select("scan", "x", "y"), ["scan"])
+    return rounded(footprint.centreline(axes, ["scan"], 10), 4)
+
+
+@query()
+def match_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Reciprocal nearest points of two sources, per scan."""
+    p = points(spark, d).select("scan", (F.col("t") / 1e6).alias("t"), "x", F.col("y").cast("double").alias("y"), F.lit(0.0).alias("z"), "src")
+    return rounded(pairs.match_clouds(p.where("src = 'view'").drop("src"), p.where("src = 'click'").drop("src"), ["scan"], {"uncertainty_r": 25.0}))
+
+
+@query()
+def patch_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """Patches of one zone and the flights whose zones they meet."""
+    cells = _zones(spark, d)
+    found = patches.zone_patches(cells, GRID, ["fi", "fj"], 30.0, 20.0, 15.0, search=5.0).where("fi = 'click'").select("patch_id", "cx", "cy", "corners")
+    boxes = cells.groupBy("fi", "fj").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
+    x = lambda c: F.col(c) * GRID.res + GRID.x0
+    y = lambda c: GRID.y0 - F.col(c) * GRID.res
+    c1, r1 = (F.col("c1") + 1) * GRID.res + GRID.x0, GRID.y0 - (F.col("r1") + 1) * GRID.res
+    ring = F.array(F.array(x("c0"), y("r0")), F.array(c1, y("r0")), F.array(c1, r1), F.array(x("c0"), r1), F.array(x("c0"), y("r0")))
+    return patches.relevant_patches(found, boxes.select("fi", "fj", ring.alias("outline"))).select("flight", "patch_id")
