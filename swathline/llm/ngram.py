@@ -37,16 +37,16 @@ from .common import fold, materialize, new_path
 from .tokens import hashes, mix, slices
 
 PRIOR = 100.0
-BITS = 12  # shards are ranges of 2**BITS buckets
+BITS = 12  # both levels are dealt into 2**BITS buckets, or 16 for each shuffle partition if that is more
 SPREAD = 64  # buckets over which one context's successors lie
 LEVELS = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bucket(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+def bucket(context: np.ndarray, word: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The bucket of a pair of word hashes."""
     part = mix(word) % np.uint64(SPREAD)
-    return (mix(context + part * _GOLD) >> np.uint64(64 - BITS)).astype(np.int32)
+    return (mix(context + part * _GOLD) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 class EliasFano:
@@ -174,12 +174,12 @@ def _open(root: str, name: str) -> dict[str, np.ndarray]:
 class Words:
     """The first level: hashes in order over all buckets, counts, and the sums N and V."""
 
-    def __init__(self, root: str, buckets: list[tuple[int, str, int, int]], total: int):
+    def __init__(self, root: str, buckets: list[tuple[int, str, int, int]], total: int, bits: int = BITS):
         """buckets: (bucket, file, first place in the file, entries), in order."""
-        self.root, self.total = root, total
+        self.root, self.total, self.bits = root, total, bits
         self.files = sorted({f for _, f, _, _ in buckets})
         place = {f: k for k, f in enumerate(self.files)}
-        self.file_of, self.shift, self.known = np.full(1 << BITS, -1, dtype=np.int32), np.zeros(1 << BITS, dtype=np.int64), 0
+        self.file_of, self.shift, self.known = np.full(1 << bits, -1, dtype=np.int32), np.zeros(1 << bits, dtype=np.int64), 0
         for b, f, at, n in buckets:
             self.file_of[b], self.shift[b] = place[f], self.known - at
             self.known += n
@@ -188,7 +188,7 @@ class Words:
     def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1 if unknown) and count of each of some hashes (uint64, in order)."""
         number, count = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
-        b = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+        b = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         file = self.file_of[b]
         for k in np.unique(file[file >= 0]):
             at = np.flatnonzero(file == k)
@@ -273,10 +273,11 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     root = new_path(spark, "ngram")
     tokens = _texts(docs, text_col)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bits = max(BITS, (parts - 1).bit_length() + 4)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Combiner()
-        out = lambda x: _batch(["b", "w", "n"], (x[0] >> np.uint64(64 - BITS)).astype(np.int32), x[0].view(np.int64), x[2])
+        out = lambda x: _batch(["b", "w", "n"], (x[0] >> np.uint64(64 - bits)).astype(np.int32), x[0].view(np.int64), x[2])
         for batch in batches:
             for t, _ in _tokens(batch):
                 for x in held.add(t, np.zeros(len(t), dtype=np.uint8)):
@@ -298,12 +299,12 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
 
     counted = tokens.mapInArrow(count_words, "b int, w long, n long")
     summed = counted.repartition(parts, "b").groupBy("b", "w").agg(F.sum("n").alias("n"))
-    found = materialize(summed.mapInArrow(write_words, "b int, file string, at long, n long, total long"), "words").collect()  # at most 2**BITS rows
-    vocabulary = (root, sorted((r["b"], r["file"], r["at"], r["n"]) for r in found), sum(r["total"] for r in found))
+    found = materialize(summed.mapInArrow(write_words, "b int, file string, at long, n long, total long"), "words").collect()  # a row per bucket at most
+    vocabulary = (root, sorted((r["b"], r["file"], r["at"], r["n"]) for r in found), sum(r["total"] for r in found), bits)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Combiner()
-        out = lambda x: _batch(["b", "c", "w", "n"], bucket(x[0], x[1]), x[0].view(np.int64), x[1].view(np.int64), x[2])
+        out = lambda x: _batch(["b", "c", "w", "n"], bucket(x[0], x[1], bits), x[0].view(np.int64), x[1].view(np.int64), x[2])
         for batch in batches:
             for t, lengths in _tokens(batch):
                 at = np.flatnonzero(_pairs(t, lengths))
@@ -323,7 +324,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
 
     pairs = tokens.mapInArrow(count_pairs, "b int, c long, w long, n long").repartition(parts, "b")
     pairs = pairs.groupBy("b", "c", "w").agg(F.sum("n").alias("n"))
-    level2 = {r["b"]: r["file"] for r in materialize(pairs.mapInArrow(write_pairs, "b int, file string"), "pairs").collect()}  # at most 2**BITS rows
+    level2 = {r["b"]: r["file"] for r in materialize(pairs.mapInArrow(write_pairs, "b int, file string"), "pairs").collect()}  # a row per bucket at most
     return {"root": root, "words": vocabulary, "pairs": level2}
 
 
@@ -385,7 +386,7 @@ class Scorer:
         self.model, self.words = model, Words(*model["words"])
         self.files = sorted(set(model["pairs"].values()))
         place = {f: k for k, f in enumerate(self.files)}
-        self.shard_of = np.full(1 << BITS, -1, dtype=np.int32)
+        self.shard_of = np.full(1 << self.words.bits, -1, dtype=np.int32)
         for b, f in model["pairs"].items():
             self.shard_of[b] = place[f]
         self.open: dict[int, Shard] = {}
@@ -403,7 +404,7 @@ class Scorer:
         a, b = key // len(u), key % len(u)
         p = np.full(len(key), np.nan)
         both = np.flatnonzero((number[a] >= 0) & (number[b] >= 0))
-        shard = self.shard_of[bucket(u[a[both]], u[b[both]])]
+        shard = self.shard_of[bucket(u[a[both]], u[b[both]], self.words.bits)]
         for k in np.unique(shard[shard >= 0]):
             if k not in self.open:
                 self.open[k] = Shard(_open(self.model["root"], self.files[k]))
