@@ -60,7 +60,9 @@ def range_join(
     found = spread.join(marked, [*keys, "_level", "_bucket"]).where(ops[closed]).drop("_level", "_bucket")
     if how == "inner":
         return found
-    rest = points.join(found.select(*points.columns).distinct(), points.columns, "left_anti")
+    seen = found.select(*(F.col(c).alias(f"_seen_{c}") for c in points.columns)).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_seen_{c}")) for c in points.columns]
+    rest = points.join(seen, same, "left_anti")
     return found.unionByName(rest, allowMissingColumns=True)
 
 

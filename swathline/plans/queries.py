@@ -335,7 +335,7 @@ def crossing_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {POINTS_SQL}, f AS (SELECT DISTINCT scan AS a, y AS b FROM pts WHERE y <> scan AND point_id % 2 = 0)
-SELECT x.a, x.b, 'Patch_from_scan_' || x.a || '_with_' || x.b || '.las' AS file_ab, 'Patch_from_scan_' || x.b || '_with_' || x.a || '.las' AS file_ba FROM f x JOIN f z ON x.a = z.b AND x.b = z.a WHERE x.a < x.b""")
+SELECT x.a, CAST(x.b AS BIGINT) AS b, 'Patch_from_scan_' || x.a || '_with_' || x.b || '.las' AS file_ab, 'Patch_from_scan_' || x.b || '_with_' || x.a || '.las' AS file_ba FROM f x JOIN f z ON x.a = z.b AND x.b = z.a WHERE x.a < x.b""")
 def reciprocal_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d).where("y <> scan and point_id % 2 = 0")
     return pairs.reciprocal(p.select(F.format_string("Patch_from_scan_%d_with_%d.las", "scan", "y").alias("name")))

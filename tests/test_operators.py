@@ -31,6 +31,8 @@ def test_range_join_left_and_empty(spark):
     pts, iv = spark.createDataFrame([(1, 0.5), (2, 9.0)], "i int, p double"), spark.createDataFrame([(7, 0.0, 1.0)], "k int, a double, b double")
     assert listed(range_join(pts, iv, "p", "a", "b", 1.0, how="left"), "i", F.coalesce("k", F.lit(-1))) == [(1, 7), (2, -1)]
     assert range_join(pts, iv.limit(0), "p", "a", "b", 1.0).count() == 0
+    null = spark.createDataFrame([(None, 0.5), (None, None), (3, 5.0)], "i int, p double")
+    assert range_join(null, iv, "p", "a", "b", 1.0, how="left").count() == 3
 
 
 def test_interval_join(spark):
