@@ -10,8 +10,12 @@ threshold.  What remains is verified on the full sets.  A pair within one compon
 verification: first each class's likeliest partner is verified, then all pairs across the components so
 far.
 
-Links lost: a pair is missed only if its sketches share no short list and no chain of proposed pairs
-joins it, or if its estimate is off by SIGMAS standard deviations.
+Large groups of copies can hold links that the representatives don't meet.  Documents joined by proposed pairs form
+a family; where a family has several components, every document outside the largest is compared with all of the
+family on the full sets, block by block, and only links that join components leave a block.
+
+Links lost: a pair is missed only if its estimate, or those that would bring it into one family, are off by SIGMAS
+standard deviations.
 
 Documents without words link with nothing.  Rows with a null id are returned with a null component and
 kept.  Each row of an id that repeats is in the component of its own set.
@@ -30,6 +34,7 @@ from .common import TOKEN, components, materialize, release, words
 
 WIDTH, K, SHORT, SIGMAS = 5, 32, 6, 5.0
 NUMERATOR, DENOMINATOR = 75, 100
+BLOCK, COLUMNS = 256, 4096  # documents of a block and columns of its matrices
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -145,6 +150,81 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def block_links(outer: list[tuple[int, int, str]], inner: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Links between two blocks of (id, component, text), as many as are needed to join the components that any link
+    joins.  Intersections of all pairs come from products of incidence matrices, some columns at a time."""
+    made: dict[int, set] = {}
+    for i, _, text in (*outer, *inner):
+        if i not in made:
+            made[i] = shingle_set(text)
+    number: dict = {}
+    for i, _, _ in outer:
+        for g in made[i]:
+            number.setdefault(g, len(number))
+
+    def incidence(rows: list[tuple[int, int, str]]) -> tuple[np.ndarray, np.ndarray]:
+        at = [(number[g], k) for k, (i, _, _) in enumerate(rows) for g in made[i] if g in number]
+        at.sort()
+        both = np.array(at, dtype=np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    (oc, orow), (ic, irow) = incidence(outer), incidence(inner)
+    shared = np.zeros((len(outer), len(inner)), dtype=np.float32)
+    for c in range(0, len(number), COLUMNS):
+        part = []
+        for cols, rows, n in ((oc, orow, len(outer)), (ic, irow, len(inner))):
+            lo, hi = np.searchsorted(cols, (c, c + COLUMNS))
+            x = np.zeros((n, COLUMNS), dtype=np.float32)
+            x[rows[lo:hi], cols[lo:hi] - c] = 1
+            part.append(x)
+        shared += part[0] @ part[1].T
+    no, ni = (np.array([len(made[i]) for i, _, _ in rows]) for rows in (outer, inner))
+    near = DENOMINATOR * shared >= NUMERATOR * (no[:, None] + ni[None] - shared)
+    near &= np.array([c for _, c, _ in outer])[:, None] != np.array([c for _, c, _ in inner])[None]
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for a, b in zip(*np.nonzero(near), strict=True):
+        x, y = root(outer[a][1]), root(inner[b][1])
+        if x != y:
+            up[x] = y
+            out.append((outer[a][0], inner[b][0]))
+    return out
+
+
+def remaining_links(pairs: DataFrame, parts: DataFrame, texts: DataFrame, block: int = BLOCK, short: int = SHORT) -> DataFrame:
+    """Links that the proposals have not met.  Documents joined by proposed pairs, verified or not, form a family; in a
+    family of several components every document outside the largest one is compared with all of the family, block by
+    block."""
+    family = materialize(components(pairs.select("a", "b")), "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    own = parts.select(F.col("node").alias("doc_id"), "component")
+    rows = materialize(family.join(own, "doc_id", "left").select("doc_id", "family", F.coalesce("component", "doc_id").alias("part")), "members")
+    sizes = rows.groupBy("family", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("family").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("part", "n").alias("main"))
+    sizes = sizes.where((F.col("size") > short) & (F.col("size") > F.col("most")))
+    count = lambda n: F.ceil(n / block).cast("int")
+    sizes = materialize(sizes.select("family", "main", count(F.col("size")).alias("na"), count(F.col("size") - F.col("most")).alias("no")), "sizes")
+    rows = rows.join(sizes, "family")
+    pick = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["doc_id", "part", "family"]
+    outer = rows.where("part <> main").select(*cols, F.lit(True).alias("outer"), pick(1, "no").alias("i"), every("na").alias("j"))
+    inner = rows.select(*cols, F.lit(False).alias("outer"), pick(2, "na").alias("j"), every("no").alias("i"))
+    put = outer.unionByName(inner).join(texts, "doc_id")
+
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        all_ = list(zip(*(got.column(c).to_pylist() for c in ("doc_id", "part", "text", "outer")), strict=True))
+        found = block_links([r[:3] for r in all_ if r[3]], [r[:3] for r in all_ if not r[3]])
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return put.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per document."""
     rows = materialize(sketches(docs, id_col, text_col), "sketches")
@@ -165,8 +245,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = apart.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
     more = materialize(verified(apart, texts), "more")
-    parts2 = materialize(components(links.unionByName(more)), "parts")
-    release(texts, pairs, links, more, parts)
+    links = links.unionByName(more)
+    parts = materialize(components(links), "parts")
+    rest = materialize(remaining_links(pairs, parts, texts), "rest")
+    parts2 = materialize(components(links.unionByName(rest)), "parts")
+    release(texts, pairs, more, rest, parts)
     classes = classes.join(parts2, F.col("c") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("component", "c").alias("component_id"))
     out = rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
