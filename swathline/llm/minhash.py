@@ -197,16 +197,16 @@ def block_links(outer: list[tuple[int, int, str]], inner: list[tuple[int, int, s
     return out
 
 
-def remaining_links(pairs: DataFrame, parts: DataFrame, texts: DataFrame, block: int = BLOCK, short: int = SHORT) -> DataFrame:
+def remaining_links(pairs: DataFrame, parts: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links that the proposals have not met.  Documents joined by proposed pairs, verified or not, form a family; in a
     family of several components every document outside the largest one is compared with all of the family, block by
-    block."""
+    block.  A family of two is one proposed pair, which is verified already."""
     family = materialize(components(pairs.select("a", "b")), "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     own = parts.select(F.col("node").alias("doc_id"), "component")
     rows = materialize(family.join(own, "doc_id", "left").select("doc_id", "family", F.coalesce("component", "doc_id").alias("part")), "members")
     sizes = rows.groupBy("family", "part").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("family").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("part", "n").alias("main"))
-    sizes = sizes.where((F.col("size") > short) & (F.col("size") > F.col("most")))
+    sizes = sizes.where((F.col("size") > 2) & (F.col("size") > F.col("most")))
     count = lambda n: F.ceil(n / block).cast("int")
     sizes = materialize(sizes.select("family", "main", count(F.col("size")).alias("na"), count(F.col("size") - F.col("most")).alias("no")), "sizes")
     rows = rows.join(sizes, "family")

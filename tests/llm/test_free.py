@@ -237,6 +237,15 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_small_families_are_compared(spark):
+    r = random.Random(3)
+    a, r1 = [r.randbytes(3).hex() for _ in range(100)], [r.randbytes(3).hex() for _ in range(50)]
+    texts = spark.createDataFrame([(1, " ".join(a)), (2, " ".join([*a[:99], "x"])), (3, " ".join(a[:50] + r1))], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 3), (2, 3)], "a long, b long")  # near copies that only met a third document
+    none = spark.createDataFrame([], "node long, component long")
+    assert [sorted(x) for x in minhash.remaining_links(pairs, none, texts).collect()] == [[1, 2]]
+
+
 # --- scores ----------------------------------------------------------------------------------------------------
 
 
