@@ -6,7 +6,10 @@ propose pairs of classes: all pairs of a list of up to SHORT classes; in longer
 with representatives of the list, one chosen alike for all lists and others anew for each list, so a
 class that shares many values meets many different partners.  Pairs are then estimated from the bottom-k of
 the union of their sketches and dropped when the estimate is more than SIGMAS standard deviations below the
-threshold.  What remains is verified on the full sets.  A pair within one component needs no
+threshold.  Pairs that share long lists only and don't meet through representatives are found by prefix
+filtering: near classes share so many values that each has one of them among its rarest, so a class stays in the long
+lists of its rarest values only, and what no proposal has joined yet is compared there block by block on sketches.
+What remains is verified on the full sets.  A pair within one component needs no
 verification: first each class's likeliest partner is verified, then all pairs across the components so
 far.
 
@@ -14,8 +17,8 @@ Large groups of copies can hold links that the representatives don't meet.  Docu
 a family; where a family has several components, every document outside the largest is compared with all of the
 family on the full sets, block by block, and only links that join components leave a block.
 
-Links lost: a pair is missed only if its estimate, or those that would bring it into one family, are off by SIGMAS
-standard deviations.
+Links lost: a pair is missed only if its estimate is off by SIGMAS standard deviations.  Any other near pair is proposed
+or in one family.
 
 Documents without words link with nothing.  Rows with a null id are returned with a null component and
 kept.  Each row of an id that repeats is in the component of its own set.
@@ -23,10 +26,12 @@ kept.  Each row of an id that repeats is in the component of its own set.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +40,7 @@ from .common import TOKEN, components, materialize, release, words
 WIDTH, K, SHORT, SIGMAS = 5, 32, 6, 5.0
 NUMERATOR, DENOMINATOR = 75, 100
 BLOCK, COLUMNS = 256, 4096  # documents of a block and columns of its matrices
+_FILL = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -90,6 +96,105 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return _tokens(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch array<long>")
 
 
+def least_shared(n: int, k: int = K) -> int:
+    """The values that the sketch of a class of n shingles shares, at least, with one whose estimate passes."""
+    t = NUMERATOR / DENOMINATOR
+    cut = max(1, math.ceil(k * (t - SIGMAS * math.sqrt(t * (1 - t) / k))))
+    # sketches that are whole sets give the Jaccard similarity itself
+    return min(cut, -(-NUMERATOR * n // DENOMINATOR)) if n <= k else cut
+
+
+def estimates(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray, k: int = K) -> np.ndarray:
+    """The estimate of each pair of rows, from sketches filled up with the largest number; -1 if it isn't near."""
+    u = np.sort(np.concatenate([sa, sb], axis=1), axis=1)
+    new = np.ones(u.shape, dtype=bool)
+    new[:, 1:] = u[:, 1:] != u[:, :-1]
+    held = u != _FILL
+    rank = np.cumsum(new & held, axis=1)
+    m = np.where((na <= k) & (nb <= k), rank[:, -1], np.minimum(rank[:, -1], k))
+    i = (~new & held & (rank <= m[:, None])).sum(1)
+    t = NUMERATOR / DENOMINATOR
+    near = (i / m >= t - SIGMAS * np.sqrt(t * (1 - t) / m)) & (DENOMINATOR * np.minimum(na, nb) >= NUMERATOR * np.maximum(na, nb))
+    return np.where(near, i / m, -1.0)
+
+
+def block_proposals(outer: pa.Table, inner: pa.Table, k: int = K) -> list[tuple[int, int, float]]:
+    """Near pairs (a, b, estimate) between two blocks of (c, n, family, sketch), the nearest first, as many as are needed
+    to join the families that any near pair joins."""
+
+    def read(t: pa.Table) -> tuple[np.ndarray, ...]:
+        s = np.full((len(t), k), _FILL)
+        for row, x in zip(s, t.column("sketch").to_pylist(), strict=True):
+            row[: len(x)] = x
+        return *(t.column(x).to_numpy() for x in ("c", "n", "family")), s
+
+    (ca, na, fa, sa), (cb, nb, fb, sb) = read(outer), read(inner)
+    found = []
+    for a in range(0, len(ca), 32):
+        x, y = np.nonzero(fa[a : a + 32, None] != fb[None])
+        x += a
+        e = estimates(sa[x], sb[y], na[x], nb[y], k)
+        found.append((x[e >= 0], y[e >= 0], e[e >= 0]))
+    x, y, e = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+    up: dict[int, int] = {}
+
+    def root(f: int) -> int:
+        while up.setdefault(f, f) != f:
+            up[f] = up[up[f]]
+            f = up[f]
+        return f
+
+    out = []
+    for p in np.argsort(-e, kind="stable"):
+        f, g = root(int(fa[x[p]])), root(int(fb[y[p]]))
+        if f != g:
+            up[f] = g
+            out.append((int(ca[x[p]]), int(cb[y[p]]), float(e[p])))
+    return out
+
+
+def prefix_proposals(listed: DataFrame, pairs: DataFrame, classes: DataFrame, k: int = K, short: int = SHORT, block: int = BLOCK) -> DataFrame:
+    """Near pairs (a < b, estimate) that meet in long lists only, as many as bring each into one family with what is
+    proposed.  listed has the posts (v, c) in lists of several classes and the length m of v's list."""
+    family = components(pairs.select("a", "b")).select(F.col("node").alias("c"), F.col("component").alias("family"))
+    own = listed.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("m", "v"))).alias("p"))
+    own = own.where(F.element_at("p", -1)["m"] > short).join(classes.select("c", "n", F.size("sketch").alias("k")), "c")
+    least = F.element_at(F.array(*(F.lit(least_shared(n, k)) for n in range(1, k + 2))), F.least("n", F.lit(k + 1)).cast("int"))
+    # values of one class only are the rarest
+    keep = F.col("k") - least + 1 - (F.col("k") - F.size("p"))
+    own = own.where(keep > 0).select("c", "n", F.explode(F.slice("p", F.lit(1), keep)).alias("p")).where(F.col("p.m") > short)
+    own = own.join(family, "c", "left")
+    # near sizes fall into one step or into two next to each other
+    step = F.floor(F.log("n") / math.log(DENOMINATOR / NUMERATOR + 0.01)).cast("int")
+    rows = own.select("c", "n", F.col("p.v").alias("v"), F.coalesce("family", "c").alias("family"), F.explode(F.array(step, step + 1)).alias("step"))
+    rows = materialize(rows, "prefixes")
+    sizes = rows.groupBy("v", "step", "family").agg(F.count("*").alias("n"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("h"))
+    sizes = sizes.groupBy("v", "step").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("family", "n").alias("main"), F.sum("h").alias("h"))
+    # lists of the same classes are compared once
+    sizes = sizes.where(F.col("size") > F.col("most")).groupBy("size", "h").agg(F.min_by(F.struct("v", "step", "most", "main"), F.struct("v", "step")).alias("s")).select("size", "s.*")
+    count = lambda n: F.ceil(n / block).cast("int")
+    sizes = materialize(sizes.select("v", "step", "main", count(F.col("size")).alias("na"), count(F.col("size") - F.col("most")).alias("no")), "sizes")
+    put = rows.join(sizes, ["v", "step"])
+    pick = lambda salt, n: F.pmod(F.xxhash64("c", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["c", "n", "family", "v", "step"]
+    outer = put.where("family <> main").select(*cols, F.lit(True).alias("outer"), pick(1, "no").alias("i"), every("na").alias("j"))
+    inner = put.select(*cols, F.lit(False).alias("outer"), pick(2, "na").alias("j"), every("no").alias("i"))
+    put = outer.unionByName(inner).join(classes.select("c", "sketch"), "c")
+
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        mask = got.column("outer")
+        found = block_proposals(got.filter(mask), got.filter(pc.invert(mask)), k)
+        cols = [pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)]
+        return pa.table(cols, names=["a", "b", "estimate"])
+
+    found = put.groupBy("v", "step", "i", "j").applyInArrow(run, "a long, b long, estimate double")
+    found = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("estimate").alias("estimate"))
+    out = materialize(found, "pairs")
+    release(rows, sizes)
+    return out
+
+
 def proposals(classes: DataFrame, k: int = K, short: int = SHORT) -> DataFrame:
     """Pairs (a < b) of classes that meet in an inverted list and whose union sketch looks near, with the
     estimate."""
@@ -116,8 +221,10 @@ def proposals(classes: DataFrame, k: int = K, short: int = SHORT) -> DataFrame:
     rows = rows.withColumn("i", F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u"))).withColumn("m", F.size("u"))
     t = NUMERATOR / DENOMINATOR
     near = F.col("i") / F.col("m") >= t - SIGMAS * F.sqrt(t * (1 - t) / F.col("m"))
-    out = materialize(rows.where(near).select("a", "b", (F.col("i") / F.col("m")).alias("estimate")), "pairs")
-    release(lists, posts, heads)
+    met = materialize(rows.where(near).select("a", "b", (F.col("i") / F.col("m")).alias("estimate")), "pairs")
+    more = prefix_proposals(posts.join(heads.select("v", "m"), "v"), met, classes, k, short)
+    out = materialize(met.unionByName(more), "pairs")
+    release(lists, posts, heads, met, more)
     return out
 
 

@@ -237,6 +237,32 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_copies_of_common_passages(spark):
+    r = random.Random(8)
+    value = lambda n: [r.getrandbits(62) for _ in range(n)]
+    rows = []
+    for _ in range(3):  # two near copies whose values many other classes hold, a third of them each
+        passages = [value(11), value(11), value(10)]
+        base = sum(passages, [])
+        rows += [base, base[:31] + value(1)] + [p + value(32 - len(p)) for p in passages for _ in range(500)]
+    classes = spark.createDataFrame([(i, 600, sorted(x)) for i, x in enumerate(rows)], "c long, n long, sketch array<long>")
+    got = closure([(x["a"], x["b"]) for x in minhash.proposals(classes).collect()])
+    assert all(i in got and got[i] == got.get(i + 1) for i in (0, 1502, 3004))
+
+
+def test_estimates():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        k, whole = 8, np.unique(r.integers(0, 30, 24))
+        a, b = (np.unique(r.choice(whole, r.integers(1, len(whole)))) for _ in range(2))
+        u = sorted({*a[:k], *b[:k]})
+        u = u if len(a) <= k and len(b) <= k else u[:k]
+        want = len({*a[:k]} & {*b[:k]} & {*u}) / len(u)
+        near = want >= 0.75 - 5 * math.sqrt(0.75 * 0.25 / len(u)) and min(len(a), len(b)) >= 0.75 * max(len(a), len(b))
+        fill = lambda x: np.array([[*x[:k], *[np.iinfo(np.int64).max] * (k - len(x[:k]))]])
+        assert minhash.estimates(fill(a), fill(b), np.array([len(a)]), np.array([len(b)]), k)[0] == pytest.approx(want if near else -1)
+
+
 def test_small_families_are_compared(spark):
     r = random.Random(3)
     a, r1 = [r.randbytes(3).hex() for _ in range(100)], [r.randbytes(3).hex() for _ in range(50)]
