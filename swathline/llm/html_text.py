@@ -26,10 +26,12 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = set("script style noscript template head title iframe object svg math canvas audio video select option textarea button datalist".split())
 RAW = set("script style noscript template iframe textarea title svg math".split())
+MARKUP = set("template svg math".split())  # of RAW, those whose content is markup; that of the others is plain up to the end tag
 BOILER_TAGS = set("nav footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = {"article", "main"}
 BOILER_WORDS = set("ad ads advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert menu nav navigation navbar sidebar footer masthead breadcrumb breadcrumbs comment comments reply replies disqus share sharing social related recommended newsletter subscribe subscription popup modal overlay pagination pager widget login signup search toolbar copyright disclaimer complementary contentinfo".split())
 CONTENT_WORDS = {"article", "main", "story", "post", "entry", "articlebody", "content"}
+_ENDS = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in RAW - MARKUP}
 # The classifier's weights, in nats.
 BIAS, IN_CONTENT, IN_BOILER, LINKS, SPAN, HEADING = -0.3, 6.0, -9.0, -4.0, 1.6, 0.7
 NEAR, SIBLING = 0.4, 0.4  # smoothness between neighbours in the page, and besides in one parent
@@ -53,12 +55,18 @@ class _Element:
         self.content = opens or bool(up and up.content) or bool(parts & CONTENT_WORDS) and not self.boiler
 
 
+def _end(page: str, at: int, tag: str) -> int:
+    """Where the end tag of a plain element starts, or the page's end."""
+    m = _ENDS[tag].search(page, at)
+    return m.start() if m else len(page)
+
+
 def blocks(page: str) -> list[dict]:
     """The page's text blocks in order: text, link characters, flags and the number of the parent element."""
     stack: list[_Element] = []
     out: list[dict] = []
     parts: list[str] = []
-    links = count = at = 0
+    links = count = at = seek = 0
     skip = ""
 
     def flush() -> None:
@@ -77,9 +85,13 @@ def blocks(page: str) -> list[dict]:
             if stack and stack[-1].link:
                 links += len(text.strip())
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, seek):
+        seek = m.end()
         if skip:
             if not (m[1] and m[2] and m[2].lower() == skip):
+                inner = (m[2] or "").lower()
+                if inner in _ENDS and not m[1] and not m[3].endswith("/"):
+                    seek = _end(page, seek, inner)
                 continue
             skip = ""
         else:
@@ -117,6 +129,8 @@ def blocks(page: str) -> list[dict]:
             stack.pop()
         elif tag in RAW:
             skip = tag
+            if tag in _ENDS:
+                seek = _end(page, seek, tag)
     if not skip:
         add(page[at:])
     flush()

@@ -113,6 +113,13 @@ def test_main_text():
     assert html_text.main_text("<article><p>a < b and c > d</p><!-- x --></article>") == "a < b and c > d"
 
 
+def test_raw_elements_end_at_their_end_tag():
+    for raw in ("<script>for(i=0;i<n;i++){f(i)}</script>", '<script>s="<!--"</script>', "<STYLE>a<b{}</Style >", "<script>if(a<b)c='\"</script>", "<svg><script>i<n;</script><!-- </svg> --><text>no</text></svg>", "<title>a <b</title>"):
+        page = f"<html><body>{raw}<article><p>The article's first words stay.</p></article></body></html>"
+        assert [b["text"] for b in html_text.blocks(page)] == ["The article's first words stay."], raw
+    assert html_text.blocks("<p>before</p><script>i<n;") == html_text.blocks("<p>before</p>")
+
+
 def test_main_text_rows(spark):
     rows = [(1, "u", PAGE), (None, None, None), (1, "u", PAGE), (2, "v", "")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as text")).collect()
