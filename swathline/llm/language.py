@@ -25,7 +25,7 @@ BUCKETS, DIM = 1 << 15, 12
 SAMPLE = 4000  # labelled texts, at most, that the driver trains on
 EPOCHS, BATCH, RATE = 10, 32, 0.5
 REJECTED = 0.0005  # share of held-out sample texts that may fall under the least score
-MOST_LEAST = 0.4  # the least score is never above this, however few texts set it
+MOST_LEAST = 0.2  # however few texts set it, the least score is never above this part of the way from chance to certainty: 0.4 of four labels
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -95,7 +95,8 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> dict:
 
     loss = lambda t: -np.log(chance(t)[np.arange(len(held)), y[held]] + 1e-12).mean()
     temperature = min((float(t) for t in np.geomspace(0.05, 20, 60)), key=loss) if len(held) else 1.0
-    least = min(float(np.quantile(chance(temperature).max(1), REJECTED)), MOST_LEAST) if len(held) else 0.0
+    most = 1 / len(names) + MOST_LEAST * (1 - 1 / len(names))
+    least = min(float(np.quantile(chance(temperature).max(1), REJECTED)), most) if len(held) else 0.0
     return {"labels": names, "weights": weights.astype(np.float32), "bias": bias, "temperature": temperature, "least": least}
 
 

@@ -200,6 +200,13 @@ def test_language(spark):
     assert long[0] == "bb"
 
 
+def test_least_score_is_calibrated():
+    r = random.Random(4)
+    labels = [r.choice(["aa", "bb"]) for _ in range(400)]
+    model = language.train([invented(r, x) for x in labels], labels)
+    assert model["least"] > 0.5  # the top score of two languages is never lower, so a lower threshold rejects nothing
+
+
 # --- near duplicates -------------------------------------------------------------------------------------------
 
 
