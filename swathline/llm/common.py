@@ -5,7 +5,10 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOKEN = r"[^\x20\x09-\x0D]+"
 
+CHUNK = 1 << 20  # edges that a task contracts at once
+SALTS = 64  # parts of a node's neighbours
+
 
 def lower_az(c: Column) -> Column:
     """Lower-case A-Z only."""
@@ -36,13 +42,17 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Set here only where the session has none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir() was given.  Only a
+    local session may have neither; it then gets a temporary folder, which on a cluster the executors would not see."""
+    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='swathline-')}"
+        held = context._jsc.sc().getCheckpointDir()
         if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
+            if not context._jsc.sc().isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='swathline-')}")
+            held = context._jsc.sc().getCheckpointDir()
+        base = held.get()
     return base.rstrip("/")
 
 
@@ -69,33 +79,73 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, in order, and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        x, y = root[x], root[y]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (a, b) of a task as stars (u, v) around smallest nodes, CHUNK edges at a time."""
+    held, size = [], 0
+
+    def stars() -> pa.RecordBatch:
+        nodes, root = forest(*(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1)))
+        own = nodes != root
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(root[own])], ["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CHUNK:
+            yield stars()
+            held, size = [], 0
+    if held:
+        yield stars()
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (u, v, old) with u > v as rows (u, v, link, open): one edge of each u to the smallest of its v, and links
+    from others of its v to that.  A node's neighbours are dealt by SALTS parts of v first, and links stay so dealt,
+    so no task gathers all neighbours of a node."""
+    salt = lambda v: F.pmod(F.xxhash64(v), F.lit(SALTS)).cast("int")
+    part = edges.groupBy("u", salt("v").alias("g")).agg(F.collect_set("v").alias("vs"), F.max("old").alias("old"))
+    row = lambda u, v, old, g: F.struct(u.alias("u"), v.alias("v"), old.cast("long").alias("old"), g.cast("int").alias("g"))
+    low = F.array_min("vs")
+    links = F.transform(F.filter("vs", lambda x: x > low), lambda x: row(x, low, F.lit(None), salt(low)))
+    part = part.select(F.explode(F.concat(F.array(row(F.col("u"), low, F.col("old"), F.lit(-1))), links)).alias("x")).select("x.*")
+    whole = part.groupBy("u", "g").agg(F.min("v").alias("v"), F.collect_set("v").alias("vs"), F.max("old").alias("old"))
+    row = lambda u, link, is_open: F.struct(u.alias("u"), F.col("v"), link.alias("link"), is_open.alias("open"))
+    own = row(F.col("u"), F.col("g") >= 0, (F.col("g") >= 0) | F.coalesce(F.col("v") != F.col("old"), F.lit(True)))
+    links = F.transform(F.filter("vs", lambda x: x > F.col("v")), lambda x: row(x, F.lit(True), F.lit(True)))
+    return whole.select(F.explode(F.concat(F.array(own), links)).alias("x")).select("x.*")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the smallest node.
 
-    Alternates large-star and small-star contraction.  Each pass aggregates a minimum per node (combined
-    before the shuffle) and joins it back.  The minima are written first, so that a node of huge degree is a
-    skewed join between two plain shuffles, which adaptive execution splits.  Nodes without an edge are not
-    returned.
+    Every task first contracts its own edges to stars around smallest nodes.  A round then joins each edge's smaller end
+    to that end's own smaller neighbour (a step to the root) and keeps of each node the edge to its smallest
+    neighbour; the others become links between neighbours.  It ends when a round changes nothing and makes no link.
+    Rounds are written, so the join is one between plain shuffles, which adaptive execution splits where one end is
+    very frequent.  Nodes without an edge are not returned.
     """
-    e = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    mark = None
-    for _ in range(rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "large")
-        low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
-        nxt = materialize(small.where("u <> v").distinct(), "small")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(e, large, low, low2)
-        e = nxt
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components still change after {rounds} rounds")
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    first = edges.where("a <> b").select("a", "b").mapInArrow(_contracted, "u long, v long")
+    at = materialize(_stars(first.withColumn("old", F.lit(None).cast("long"))), "stars")
+    while at.where("open").head(1):
+        up = at.where("not link").select(F.col("u").alias("k"), F.col("v").alias("p"))
+        moved = at.join(up, at["v"] == up["k"], "left").select("u", F.coalesce("p", "v").alias("v"), F.when(~F.col("link"), F.col("v")).alias("old"))
+        nxt = materialize(_stars(moved), "stars")
+        release(at)
+        at = nxt
+    own = at.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return own.unionByName(own.select(F.col("component").alias("node"), "component").distinct())

@@ -153,10 +153,11 @@ def block_proposals(outer: pa.Table, inner: pa.Table, k: int = K) -> list[tuple[
     return out
 
 
-def prefix_proposals(listed: DataFrame, pairs: DataFrame, classes: DataFrame, k: int = K, short: int = SHORT, block: int = BLOCK) -> DataFrame:
+def prefix_proposals(listed: DataFrame, families: DataFrame, classes: DataFrame, k: int = K, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """Near pairs (a < b, estimate) that meet in long lists only, as many as bring each into one family with what is
-    proposed.  listed has the posts (v, c) in lists of several classes and the length m of v's list."""
-    family = components(pairs.select("a", "b")).select(F.col("node").alias("c"), F.col("component").alias("family"))
+    proposed.  listed has the posts (v, c) in lists of several classes and the length m of v's list; families the
+    components of the pairs proposed so far."""
+    family = families.select(F.col("node").alias("c"), F.col("component").alias("family"))
     own = listed.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("m", "v"))).alias("p"))
     own = own.where(F.element_at("p", -1)["m"] > short).join(classes.select("c", "n", F.size("sketch").alias("k")), "c")
     least = F.element_at(F.array(*(F.lit(least_shared(n, k)) for n in range(1, k + 2))), F.least("n", F.lit(k + 1)).cast("int"))
@@ -195,9 +196,19 @@ def prefix_proposals(listed: DataFrame, pairs: DataFrame, classes: DataFrame, k:
     return out
 
 
+def tree(parts: DataFrame) -> DataFrame:
+    """Components as edges, few enough to go on from."""
+    return parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def proposals(classes: DataFrame, k: int = K, short: int = SHORT) -> DataFrame:
     """Pairs (a < b) of classes that meet in an inverted list and whose union sketch looks near, with the
     estimate."""
+    return families(classes, k, short)[0]
+
+
+def families(classes: DataFrame, k: int = K, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
+    """The proposals and their components."""
     posts = classes.select(F.explode("sketch").alias("v"), "c")
     # most values belong to one class; only the others make lists
     # (written first, so that the join below is one that adaptive execution can split)
@@ -222,10 +233,12 @@ def proposals(classes: DataFrame, k: int = K, short: int = SHORT) -> DataFrame:
     t = NUMERATOR / DENOMINATOR
     near = F.col("i") / F.col("m") >= t - SIGMAS * F.sqrt(t * (1 - t) / F.col("m"))
     met = materialize(rows.where(near).select("a", "b", (F.col("i") / F.col("m")).alias("estimate")), "pairs")
-    more = prefix_proposals(posts.join(heads.select("v", "m"), "v"), met, classes, k, short)
+    joined = components(met.select("a", "b"))
+    more = prefix_proposals(posts.join(heads.select("v", "m"), "v"), joined, classes, k, short)
     out = materialize(met.unionByName(more), "pairs")
+    joined = components(tree(joined).unionByName(more.select("a", "b")))
     release(lists, posts, heads, met, more)
-    return out
+    return out, joined
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> set:
@@ -304,11 +317,12 @@ def block_links(outer: list[tuple[int, int, str]], inner: list[tuple[int, int, s
     return out
 
 
-def remaining_links(pairs: DataFrame, parts: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+def remaining_links(pairs: DataFrame, parts: DataFrame, texts: DataFrame, block: int = BLOCK, joined: DataFrame | None = None) -> DataFrame:
     """Links that the proposals have not met.  Documents joined by proposed pairs, verified or not, form a family; in a
     family of several components every document outside the largest one is compared with all of the family, block by
-    block.  A family of two is one proposed pair, which is verified already."""
-    family = materialize(components(pairs.select("a", "b")), "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    block.  A family of two is one proposed pair, which is verified already.  joined: the families, if known."""
+    joined = components(pairs.select("a", "b")) if joined is None else joined
+    family = joined.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     own = parts.select(F.col("node").alias("doc_id"), "component")
     rows = materialize(family.join(own, "doc_id", "left").select("doc_id", "family", F.coalesce("component", "doc_id").alias("part")), "members")
     sizes = rows.groupBy("family", "part").agg(F.count("*").alias("n"))
@@ -337,7 +351,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(sketches(docs, id_col, text_col), "sketches")
     named = rows.where("n > 0 and doc_id is not null")
     classes = materialize(named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("c"), F.first("sketch").alias("sketch")), "classes")
-    pairs = proposals(classes.select("c", "n", "sketch"))
+    pairs, joined = families(classes.select("c", "n", "sketch"))
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # neither side has a bound, so the plan is the same at every size
@@ -347,16 +361,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = ends.groupBy("a").agg(F.max_by("b", "estimate").alias("b"))
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = materialize(verified(best, texts), "links")
-    parts = materialize(components(links), "parts")
+    parts = components(links)
     of = lambda s: parts.select(F.col("node").alias(s), F.col("component").alias(f"p{s}"))
     apart = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = apart.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
     more = materialize(verified(apart, texts), "more")
-    links = links.unionByName(more)
-    parts = materialize(components(links), "parts")
-    rest = materialize(remaining_links(pairs, parts, texts), "rest")
-    parts2 = materialize(components(links.unionByName(rest)), "parts")
-    release(texts, pairs, more, rest, parts)
+    parts = components(tree(parts).unionByName(more))
+    rest = materialize(remaining_links(pairs, parts, texts, joined=joined), "rest")
+    parts2 = components(tree(parts).unionByName(rest))
+    release(texts, pairs, links, more, rest)
     classes = classes.join(parts2, F.col("c") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("component", "c").alias("component_id"))
     out = rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
