@@ -1,28 +1,41 @@
 """Main-text extraction by minimum-cut labelling.
 
-A page is cut into text blocks.  A linear classifier over a block's tags, names, link density and length
-gives the cost of calling it content or boilerplate; these costs are terminal capacities, and edges
-between neighbours in page order and between neighbours in the same parent carry smoothness.  The minimum
-cut, found by maximum flow, is the cheapest labelling.
+A page is cut into text blocks.  A linear classifier over a block's own text, its element and the names of what it
+lies in gives the log odds that it is content; these are terminal capacities.  Edges carry smoothness: between
+neighbours in page order, the weaker the more steps of the element tree lie between them, and between a block and the
+one before it in the same parent.  The minimum cut, found by maximum flow, is the cheapest labelling: what a block's
+own features leave open, its neighbours decide.
 
-Null or empty html has an empty text.  Each input row gives one output row, whatever its ids.
+The classifier is a logistic regression fitted on generated labelled pages (PAGES of them, seeded, of many layouts, with
+and without telling names); the two edge weights are those of a small grid with the most blocks right on the pages left
+out of the fit.  Both depend on no input and are fitted once, on the driver.
+
+Tags are read as browsers do: a quote opens a value only after "=", and a tag that never ends by these rules ends at
+its next ">" or takes the rest of the page.  Null or empty html has an empty text.  Each input row gives one output
+row, whatever its ids.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
+import random
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_NAMED = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_START = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([A-Za-z][^\s/>]*+)")
+_NAME = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)?")
+_EQUALS, _BARE = re.compile(r"\s*+=\s*+"), re.compile(r"[^\s>]*+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)]*$")
+NAMED = {"class", "id", "role", "itemprop"}
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = set("script style noscript template head title iframe object svg math canvas audio video select option textarea button datalist".split())
 RAW = set("script style noscript template iframe textarea title svg math".split())
@@ -31,17 +44,16 @@ BOILER_TAGS = set("nav footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = {"article", "main"}
 BOILER_WORDS = set("ad ads advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert menu nav navigation navbar sidebar footer masthead breadcrumb breadcrumbs comment comments reply replies disqus share sharing social related recommended newsletter subscribe subscription popup modal overlay pagination pager widget login signup search toolbar copyright disclaimer complementary contentinfo".split())
 CONTENT_WORDS = {"article", "main", "story", "post", "entry", "articlebody", "content"}
+FEATURES = ["bias", "in content", "in boilerplate by name", "in boilerplate by tag", "link share", "all links", "length", "few words", "sentence", "heading", "item", "paragraph", "copyright"]
+PAGES = 600  # generated pages that the classifier is fitted on, a quarter of them for the edges
+GRID = (0.0, 0.8, 1.6, 2.4, 3.2)  # edge weights to choose from
 _ENDS = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in RAW - MARKUP}
-# The classifier's weights, in nats.
-BIAS, IN_CONTENT, IN_BOILER, LINKS, SPAN, HEADING = -0.3, 6.0, -9.0, -4.0, 1.6, 0.7
-NEAR, SIBLING = 0.4, 0.4  # smoothness between neighbours in the page, and besides in one parent
 
 
 class _Element:
-    __slots__ = ("tag", "content", "boiler", "silent", "number", "link")
+    __slots__ = ("tag", "content", "boiler", "silent", "number", "link", "block", "above", "depth")
 
-    def __init__(self, tag: str, attrs: str, up: _Element | None, number: int):
-        names = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attrs)} if attrs else {}
+    def __init__(self, tag: str, names: dict[str, str], up: _Element | None, number: int):
         parts = {x.lower() for v in names.values() for x in _PART.findall(v)}
         opens = tag in CONTENT_TAGS or names.get("role", "").lower() == "main" or names.get("itemprop", "").lower() == "articlebody"
         hard = tag in BOILER_TAGS
@@ -53,6 +65,22 @@ class _Element:
         # 2: an element that only holds boilerplate; 1: named so, which an article inside takes back
         self.boiler = 2 if hard and tag != "form" or within == 2 else max(within * (not opens), int(soft or hard) and (1 if not (up and up.content) else 2))
         self.content = opens or bool(up and up.content) or bool(parts & CONTENT_WORDS) and not self.boiler
+        # the nearest element that isn't inline, itself or above, and the next one above that
+        over = up.block if up else None
+        self.block, self.above = (over, None) if tag in INLINE else (self, over)
+        self.depth = over.depth + 1 if over else 0
+
+
+def _hops(a: _Element | None, b: _Element | None) -> int:
+    """Steps of the element tree between two blocks' elements."""
+    n = 0
+    while a is not b:
+        if b is None or a is not None and a.depth >= b.depth:
+            a = a.above
+        else:
+            b = b.above
+        n += 1
+    return n
 
 
 def _end(page: str, at: int, tag: str) -> int:
@@ -61,20 +89,59 @@ def _end(page: str, at: int, tag: str) -> int:
     return m.start() if m else len(page)
 
 
+def _tag(page: str, at: int, dead: dict[str, int]) -> tuple[int, dict[str, str], bool]:
+    """Where a tag ends whose name ends at a place, its naming attributes, and whether it closes itself.  dead holds
+    from where on a quote isn't found any more."""
+    begin, names = at, {}
+    while True:
+        m = _NAME.match(page, at)
+        at = m.end()
+        if m[1] is None:
+            if at < len(page):  # ">"
+                return at + 1, names, page[at - 1] == "/"
+            end = page.find(">", begin)
+            return (end + 1 if end >= 0 else len(page)), names, False
+        e = _EQUALS.match(page, at)
+        if not e:
+            continue
+        at, quote = e.end(), page[e.end() : e.end() + 1]
+        end = -1
+        if quote in ("'", '"') and at < dead.get(quote, len(page)):
+            end = page.find(quote, at + 1)
+            if end < 0:
+                dead[quote] = at
+        value = page[at + 1 : end] if end >= 0 else _BARE.match(page, at)[0]
+        at = end + 1 if end >= 0 else at + len(value)
+        names.setdefault(key, value) if (key := m[1].lower()) in NAMED else None
+
+
+def _features(text: str, links: float, top: _Element | None) -> tuple[float, ...]:
+    tag = top.tag if top else ""
+    return (
+        1.0, float(bool(top and top.content and not top.boiler)), float(bool(top and top.boiler == 1)), float(bool(top and top.boiler == 2)),
+        links, float(links > 0.95), math.log1p(len(text) / 60), float(text.count(" ") < 4), float(bool(_SENTENCE.search(text[-8:]))),
+        float(bool(re.fullmatch("h[1-6]", tag))), float(tag in ("li", "dt", "dd", "td", "th")), float(tag in ("p", "blockquote", "pre")), float("©" in text[:20]),
+    )
+
+
 def blocks(page: str) -> list[dict]:
-    """The page's text blocks in order: text, link characters, flags and the number of the parent element."""
+    """The page's text blocks in order: text, features, the parent element's number, and the steps of the element tree
+    from the block before."""
     stack: list[_Element] = []
+    opened: Counter = Counter()
     out: list[dict] = []
     parts: list[str] = []
+    dead: dict[str, int] = {}
     links = count = at = seek = 0
-    skip = ""
+    skip, before = "", None
 
     def flush() -> None:
-        nonlocal parts, links
+        nonlocal parts, links, before
         text = " ".join("".join(parts).split())
         if text:
-            top = next((e for e in reversed(stack) if e.tag not in INLINE), None)
-            out.append({"text": text, "links": links / len(text), "content": bool(top and top.content), "boiler": bool(top and top.boiler), "parent": top.number if top else 0, "up": _parent(stack), "heading": bool(top and re.fullmatch("h[1-6]", top.tag))})
+            top = stack[-1].block if stack else None
+            out.append({"text": text, "x": _features(text, links / len(text), top), "parent": top.number if top else 0, "hops": _hops(before, top) if out else 0, "up": top.above.number if top and top.above else 0})
+            before = top
         parts, links = [], 0
 
     def add(text: str) -> None:
@@ -85,31 +152,38 @@ def blocks(page: str) -> list[dict]:
             if stack and stack[-1].link:
                 links += len(text.strip())
 
-    while m := _TOKEN.search(page, seek):
-        seek = m.end()
+    def cut(i: int) -> None:
+        for e in stack[i:]:
+            opened[e.tag] -= 1
+        del stack[i:]
+
+    while m := _START.search(page, seek):
+        names, closed = {}, False
+        if m[2]:
+            end, names, closed = (m.end() + 1, names, False) if page[m.end() : m.end() + 1] == ">" else _tag(page, m.end(), dead)
+        else:
+            end = page.find({"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">"), m.start() + 2)
+            end = len(page) if end < 0 else end + (1 if len(m[0]) == 2 else 3)
+        seek, tag = end, (m[2] or "").lower()
         if skip:
-            if not (m[1] and m[2] and m[2].lower() == skip):
-                inner = (m[2] or "").lower()
-                if inner in _ENDS and not m[1] and not m[3].endswith("/"):
-                    seek = _end(page, seek, inner)
+            if not (m[1] and tag == skip):
+                if tag in _ENDS and not m[1] and not closed:
+                    seek = _end(page, seek, tag)
                 continue
             skip = ""
         else:
             add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
         if tag == "br":
             parts.append(" ")
             continue
         if tag not in INLINE:
             flush()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag] > 0:
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             continue
         if tag in VOID:
             continue
@@ -117,16 +191,17 @@ def blocks(page: str) -> list[dict]:
             ends = {"p"} | ({tag} if tag in ("li", "dt", "dd", "tr", "td", "th", "option") else set())
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag not in INLINE:
                     break
         if tag == "body":
-            stack.clear()
+            cut(0)
         count += 1
-        stack.append(_Element(tag, m[3], stack[-1] if stack else None, count))
-        if m[3].endswith("/") and tag in ("svg", "math"):
-            stack.pop()
+        stack.append(_Element(tag, names, stack[-1] if stack else None, count))
+        opened[tag] += 1
+        if closed and tag in ("svg", "math"):
+            cut(len(stack) - 1)
         elif tag in RAW:
             skip = tag
             if tag in _ENDS:
@@ -137,15 +212,123 @@ def blocks(page: str) -> list[dict]:
     return out
 
 
-def _parent(stack: list[_Element]) -> int:
-    held = [e.number for e in stack if e.tag not in INLINE]
-    return held[-2] if len(held) > 1 else 0
+def _page(r: random.Random) -> tuple[str, set[str]]:
+    """A generated page and the texts of its content blocks."""
+    kept: set[str] = set()
+
+    def words(lo: int, hi: int, end: str = "") -> str:
+        return " ".join("".join(r.choice(["ka", "lo", "mi", "ter", "un", "ves", "or", "en", "sta"]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(lo, hi))).capitalize() + end
+
+    def link(text: str) -> str:
+        return f'<a href="/{r.randrange(99)}">{text}</a>'
+
+    def menu(n: int) -> str:
+        return "<ul>" + "".join(f"<li>{link(words(1, 3))}</li>" for _ in range(n)) + "</ul>"
+
+    def wrapped(inner: str, tags: list[str], names: list[str]) -> str:
+        kind = r.random()
+        if kind < 0.45:
+            tag = r.choice(tags)
+            return f"<{tag}>{inner}</{tag}>"
+        return f'<div class="{r.choice(names)}">{inner}</div>' if kind < 0.8 else f"<div>{inner}</div>"
+
+    def text(lo: int, hi: int, end: str = "") -> str:
+        kept.add(x := words(lo, hi, end))
+        return x
+
+    def paragraph() -> str:
+        kind = r.random()
+        if kind < 0.6:
+            return f"<p>{text(8, 90, '.')}</p>"
+        if kind < 0.75:
+            return f"<p>{text(1, 5, r.choice(['', '.', '!']))}</p>"
+        if kind < 0.82:
+            return f"<p>{link(text(2, 12))}</p>"
+        if kind < 0.9:
+            return f"<h{(k := r.randint(2, 4))}>{text(1, 8)}</h{k}>"
+        return "<ul>" + "".join(f"<li>{text(1, 14)}</li>" for _ in range(r.randint(1, 4))) + "</ul>"
+
+    def inside() -> str:
+        """Boilerplate that lies in an article."""
+        kind = r.random()
+        if kind < 0.5:
+            return f'<div class="{r.choice(["ad", "sponsored", "promo-box"])}">{words(2, 14, ".")}</div>'
+        if kind < 0.7:
+            return f'<div class="share">{menu(r.randint(2, 4))}</div>'
+        if kind < 0.85:
+            return f"<form><label>{words(1, 3)}</label><p>{words(3, 12, '.')}</p></form>"
+        return f"<aside>{menu(3)}</aside>"
+
+    body = [f"<h1>{text(2, 12)}</h1>"] * (r.random() < 0.85) + [x for _ in range(r.randint(1, 9)) for x in [paragraph()] + [inside()] * (r.random() < 0.08)]
+    comments = "".join(f"<p>{words(2, 40, '.')}</p>" for _ in range(r.randint(1, 5)))
+    teasers = "".join(f"<div>{link(words(3, 8))}<p>{words(4, 16, '.')}</p></div>" for _ in range(r.randint(1, 4)))
+    before = [
+        (0.6, lambda: wrapped(f"<p>{words(1, 3)}</p>" + menu(r.randint(2, 7)), ["header"], ["header", "masthead"])),
+        (0.8, lambda: wrapped(menu(r.randint(3, 9)), ["nav"], ["menu", "navbar", "top"])),
+        (0.4, lambda: f'<div class="{r.choice(["cookie-notice", "banner", "alert"])}">{words(4, 25, ".")}</div>'),
+        (0.4, lambda: f'<div class="{r.choice(["ad", "advert", "sponsored"])}">{words(2, 14, ".")}</div>'),
+    ]
+    after = [
+        (0.3, lambda: f'<div id="{r.choice(["comments", "disqus", "replies"])}"><h3>{words(1, 2)}</h3>{comments}</div>'),
+        (0.5, lambda: wrapped(f"<h3>{words(1, 2)}</h3>" + r.choice([menu(4), teasers]), ["aside"], ["sidebar", "related", "box"])),
+        (0.9, lambda: wrapped(f"<p>{r.choice(['© ', ''])}{words(1, 6)}</p>" + menu(r.randint(1, 4)), ["footer"], ["footer", "copyright", "bottom"])),
+    ]
+    some = lambda parts: "".join(f() for p, f in parts if r.random() < p)
+    return f"<html><body>{some(before)}{wrapped(''.join(body), ['article', 'main'], ['content', 'post', 'entry-body', 'text'])}{some(after)}</body></html>", kept
+
+
+def examples(n: int, seed: int) -> list[tuple[list[dict], list[bool]]]:
+    """Generated pages as blocks with their labels."""
+    r, out = random.Random(seed), []
+    for _ in range(n):
+        page, kept = _page(r)
+        found = blocks(page)
+        out.append((found, [b["text"] in kept for b in found]))
+    return out
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton's steps."""
+    w = np.zeros(x.shape[1])
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-x @ w))
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w -= np.linalg.solve(h, x.T @ (p - y) + ridge * w)
+    return w.round(4)
+
 
+@functools.cache
+def model() -> tuple[tuple[float, ...], float, float]:
+    """(weights, near, sibling): the classifier's weights and those of the edges."""
+    pages = examples(PAGES, 11)
+    learn, held = [p for i, p in enumerate(pages) if i % 4], pages[::4]
+    weights = tuple(fit(np.array([b["x"] for found, _ in learn for b in found]), np.array([k for _, kept in learn for k in kept], dtype=float)).tolist())
+    right = lambda near, sibling: sum(a == b for found, kept in held for a, b in zip(labels(found, (weights, near, sibling)), kept, strict=True))
+    near, sibling = max(((a, b) for a in GRID for b in GRID), key=lambda e: right(*e))
+    return weights, near, sibling
 
-def score(b: dict) -> float:
+
+def score(b: dict, weights: tuple[float, ...]) -> float:
     """The classifier's log odds that a block is content."""
-    s = BIAS + LINKS * b["links"] + SPAN * math.log1p(len(b["text"]) / 60) + HEADING * b["heading"]
-    return s + (IN_BOILER if b["boiler"] else IN_CONTENT if b["content"] else 0.0)
+    return sum(w * v for w, v in zip(weights, b["x"], strict=True))
+
+
+def edges(found: list[dict], near: float, sibling: float) -> list[tuple[int, int, float]]:
+    out, last = [], {}
+    for i, b in enumerate(found):
+        if i and near:
+            out.append((i - 1, i, near / (1 + b["hops"])))
+        for key, w in ((("p", b["parent"]), sibling), (("u", b["up"]), sibling / 2)):
+            if w and key in last:
+                out.append((last[key], i, w))
+            last[key] = i
+    return out
+
+
+def labels(found: list[dict], fitted: tuple[tuple[float, ...], float, float] | None = None) -> list[bool]:
+    """Which blocks are content."""
+    weights, near, sibling = fitted or model()
+    return min_cut([score(b, weights) for b in found], edges(found, near, sibling))
 
 
 def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -208,27 +391,18 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
             u = to[path[-1]]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, fitted: tuple[tuple[float, ...], float, float] | None = None) -> str:
     found = blocks(page or "")
-    edges, last = [], {}
-    for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, NEAR))
-        for key in {("p", b["parent"]), ("u", b["up"])}:
-            if key in last:
-                edges.append((last[key], i, SIBLING))
-            last[key] = i
-    keep = min_cut([score(b) for b in found], edges)
-    return " ".join(b["text"] for b, k in zip(found, keep, strict=True) if k)
+    return " ".join(b["text"] for b, k in zip(found, labels(found, fitted), strict=True) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The kept columns, the page's main text and its length in code points."""
-    rows = pages.select(*keep, pages[html_col].alias("_html"))
+    rows, fitted = pages.select(*keep, pages[html_col].alias("_html")), model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [main_text(x) for x in batch.column("_html").to_pylist()]
+            text = [main_text(x, fitted) for x in batch.column("_html").to_pylist()]
             added = [pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *added], [*keep, "text", "n_chars"])
 

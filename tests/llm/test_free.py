@@ -120,6 +120,34 @@ def test_raw_elements_end_at_their_end_tag():
     assert html_text.blocks("<p>before</p><script>i<n;") == html_text.blocks("<p>before</p>")
 
 
+def test_stray_quotes():
+    text = lambda page: [b["text"] for b in html_text.blocks(page)]
+    assert html_text.main_text('<article><p class="a"">Hello world here</p><p class="b">Second para</p></article>') == "Hello world here Second para"
+    assert text('<p>one <img alt="x>two three</p>') == ["one two three"]
+    assert text("<p title=a'b>it's</p><p data-x='a>b' \"c>d</p>") == ["it's", "d"]
+    assert text('<p class="x" ' + 'a="1" ' * 50000 + "no end") == [] and text("<p <b>x</b") == ["x"]
+    assert text("<!-->a<!-- b -->c<!DOCTYPE x>d") == ["acd"]
+
+
+LONG = "A paragraph that is long enough, with several words and a full stop at its end, to be told as content by itself. A second sentence makes it longer, and a third part of it longer still, as articles have them."
+OPEN = [  # pages whose elements have no telling names, with their main text
+    (f"<div><h2>Its title</h2><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div><div><a href=1>More</a> <a href=2>Links</a></div>", f"Its title {LONG} Yes. {LONG}"),
+    (f"<div><div><a href=1>Home</a></div><div><p>{LONG}</p><p>No</p><p>Never</p><p>{LONG}</p></div><div>© 2020 Us</div></div>", f"{LONG} No Never {LONG}"),
+    (f"<article><p>{LONG}</p><p><a href=x>A link alone</a></p><div class=ad>Buy this now!</div><p>End</p></article><footer>{LONG}</footer>", f"{LONG} A link alone End"),
+]
+
+
+def test_cut_decides():
+    fitted = html_text.model()
+    alone = (fitted[0], 0.0, 0.0)  # the classifier without edges
+    for page, want in OPEN:
+        assert html_text.main_text(page) == want
+    assert [html_text.main_text(page, alone) != want for page, want in OPEN] == [True, True, False]
+    pages = html_text.examples(150, 5)  # other than those of the fit
+    right = lambda f: sum(a == b for found, kept in pages for a, b in zip(html_text.labels(found, f), kept, strict=True)) / sum(len(kept) for _, kept in pages)
+    assert right(fitted) > 0.97 and right(fitted) > right(alone) + 0.005
+
+
 def test_main_text_rows(spark):
     rows = [(1, "u", PAGE), (None, None, None), (1, "u", PAGE), (2, "v", "")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as text")).collect()
