@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The base kinds in order, as patterns.  Possessive repeats match what the plain ones do
-# (nothing that follows could use what they would give back) and don't recurse on long runs.
+# (nothing that follows could use what they would give back) and don't recurse on long runs.  A run that doesn't match
+# from its first character, or from where the last match ended (\G), doesn't match from a later one either, so no
+# other start is tried: time stays in proportion to the text.
 BASE = [
-    ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
-    ("ip", r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"),
+    ("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    ("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"),
     ("card", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 ]
@@ -38,6 +40,7 @@ PROPOSED = [
 KINDS = ["email", "ip", "card", "phone", "secret", "iban", "ssn"]
 GUARD = {"email": "@", "phone": "+"}  # a literal that every base match holds
 CONTEXT = 32  # code points before a candidate that its features see
+BLOCK, CHUNK = 256, 4096  # elements of an array that grows by one, code points of a long text's parts
 CUES = {
     "cue_secret": r"(?i)(?:token|secret|password|passwd|api.?key|key|bearer)[^A-Za-z0-9]*$",
     "cue_bank": r"(?i)(?:iban|account|konto|bank)[^A-Za-z0-9]*$",
@@ -48,18 +51,40 @@ FEATURES = ["kind", "length", "digits", "uppers", "lowers", "hexes", "marks", "i
 EXAMPLES, TREES, RATE, PRECISION = 4000, 24, 0.3, 0.99
 
 
-def matches(text: Column, found: Column, pieces: Column) -> Column:
-    """Spans of all matches as array<struct<s, e, m>>, in code points: pieces are what lies between them."""
+def let(value: Column, body) -> Column:
+    """body(value), with the value evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op) -> Column:
+    """The running totals of a non-empty array under an associative op.  Arrays that grow by one element are copied each
+    time, so none grows beyond BLOCK elements, or one for each block."""
+    last = lambda x: F.element_at(x, -1)
+    within = lambda x: F.aggregate(F.slice(x, 2, BLOCK), F.array(x[0]), lambda acc, v: F.array_append(acc, op(last(acc), v)))
+    heads = lambda y: F.aggregate(F.slice(y, 2, F.size(y)), F.array(last(y[0])), lambda acc, x: F.array_append(acc, op(last(acc), last(x))))
+    joined = lambda y, h: F.flatten(F.transform(y, lambda x, k: F.when(k == 0, x).otherwise(F.transform(x, lambda v: op(h[k - 1], v)))))
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: within(F.slice(v, b * BLOCK + 1, BLOCK)))
+    return let(values, lambda v: let(blocks(v), lambda y: let(heads(y), lambda h: joined(y, h))))
+
+
+def matches(found: Column, pieces: Column, context: bool = False) -> Column:
+    """Spans of all matches as array<struct<s, e, m>>, in code points: pieces are what lies between them.  With context
+    also the CONTEXT code points before a match (no match of that kind is shorter than a third of it) and the one after."""
     size = lambda c: F.char_length(c)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)").alias("out"))
+    plus = lambda a, b: a + b
 
-    def step(acc: Column, i: Column) -> Column:
-        s = acc["at"] + size(pieces[i])
-        e = s + size(found[i])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), found[i].alias("m"))).alias("out"))
+    def span(end: Column, i: Column) -> Column:
+        cols = [(end - size(found[i])).alias("s"), end.alias("e"), found[i].alias("m")]
+        if context:
+            left = lambda x: F.substring(x, 1, 1)
+            near = [F.get(x, i - k) for k in (3, 2, 1) for x in (pieces, found)]
+            after = F.coalesce(F.nullif(left(pieces[i + 1]), F.lit("")), left(F.get(found, i + 1)), F.lit(""))
+            cols += [F.right(F.concat_ws("", *near, pieces[i]), F.lit(CONTEXT)).alias("before"), after.alias("after")]
+        return F.struct(*cols)
 
-    many = F.size(found)
-    return F.when(many > 0, F.aggregate(F.sequence(F.lit(0), many - 1), start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    sizes = F.transform(found, lambda m, i: size(pieces[i]) + size(m))
+    kind = "array<struct<s:int,e:int,m:string" + (",before:string,after:string" if context else "") + ">>"
+    return F.when(F.size(found) > 0, F.transform(running(sizes, plus), span)).otherwise(F.expr(f"cast(array() as {kind})"))
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -187,18 +212,51 @@ def _compiled(tree, f: Column) -> Column:
     return F.when(f[tree[0]] <= tree[1], _compiled(tree[2], f)).otherwise(_compiled(tree[3], f))
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["s"] < b["e"]) & (b["s"] < a["e"])
+def _zipped(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others.  In one order of the others' starts and the spans' ends (an end first
+    where they are equal), a span overlaps one if the largest end of those before its own end lies beyond its start."""
+    mark = lambda at, kind, end, x: F.struct(at.alias("at"), F.lit(kind).alias("kind"), end.alias("end"), x.alias("x"))
+    queries = F.transform(spans, lambda x: mark(x["e"], 0, F.lit(-1), x))
+    events = F.array_sort(F.concat(queries, F.transform(others, lambda o: mark(o["s"], 1, o["e"], F.lit(None)))))
+
+    def free(ev: Column) -> Column:
+        far = running(F.transform(ev, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        both = F.filter(_zipped(ev, far), lambda z: (z["a"]["kind"] == 0) & (z["b"] <= z["a"]["x"]["s"]))
+        return F.transform(both, lambda z: z["a"]["x"])
+
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), let(events, free)).otherwise(spans)
+
+
+def _likelier(spans: Column) -> Column:
+    """Of each two overlapping spans (s, e, kind, p) of different kinds only the likelier (then the earlier, then the
+    earlier kind), as codes.  Spans of one kind don't overlap, so a span's start lies in at most one of each kind; these
+    are all pairs, since of two that overlap one starts inside the other."""
+    code = lambda x: F.shiftleft(x["s"].cast("long"), 33).bitwiseOR(F.shiftleft(x["e"].cast("long"), 2)).bitwiseOR(x["n"].cast("long"))
+    better = lambda a, b: F.struct(-a["p"], a["s"], a["n"]) < F.struct(-b["p"], b["s"], b["n"])
+
+    def kept(x: Column) -> Column:
+        lost = []
+        for n in range(len(PROPOSED)):
+            last = running(F.transform(x, lambda z: F.when(z["n"] == n, z)), lambda a, b: F.greatest(a, b))  # noqa: B023
+            pairs = F.filter(_zipped(x, last), lambda z: (z["a"]["n"] != n) & z["b"].isNotNull() & (z["b"]["e"] > z["a"]["s"]))  # noqa: B023
+            lost.append(F.transform(pairs, lambda z: F.when(better(z["a"], z["b"]), code(z["b"])).otherwise(code(z["a"]))))
+        return F.array_except(F.transform(x, code), F.concat(*lost))
+
+    return let(F.array_sort(spans), kept)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds _base and _spans (arrays of struct<kind, s, e>, sorted by kind, then start) to every row.
+    """Adds _base and _spans (arrays of struct<kind, s, e>, sorted by kind, then start) to every row; columns of those
+    names are replaced.
 
     _base holds the base kinds, _spans these and what the model adds.  Of overlapping additions the
     likelier stays (then the earlier, then the earlier kind); none overlaps a base span."""
     trees, cuts = model()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_text", text)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     named = [(f"b{n}", GUARD.get(k), p) for n, (k, p) in enumerate(BASE)] + [(f"p{n}", None, p) for n, (_, p) in enumerate(PROPOSED)]
     none = F.expr("cast(array() as array<string>)")
     found = {}
@@ -207,25 +265,25 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
         found[f"_m{n}"] = F.when(F.contains("_text", F.lit(guard)), take).otherwise(none) if guard else take
     rows = rows.withColumns(found)
     rows = rows.withColumns({f"_s{n}": F.when(F.size(f"_m{n}") > 0, F.split("_text", p, -1)).otherwise(none) for n, _, p in named})
-    rows = rows.withColumns({f"_a{n}": matches(F.col("_text"), F.col(f"_m{n}"), F.col(f"_s{n}")) for n, _, _ in named})
+    rows = rows.withColumns({f"_a{n}": matches(F.col(f"_m{n}"), F.col(f"_s{n}"), n[0] == "p") for n, _, _ in named})
     span = lambda k, x: F.struct(F.lit(KINDS.index(k)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"))
     decided = lambda n, k: F.transform(F.filter(f"_ab{n}", lambda x: _valid(k, x["m"])), lambda x: span(k, x))
     rows = rows.withColumn("_base", F.concat(*(decided(n, k) for n, (k, _) in enumerate(BASE))))
 
-    def scored(n: int, kind: str) -> Column:
-        free = F.filter(f"_ap{n}", lambda x: ~F.exists("_base", lambda b: _overlaps(b, x)))
-        before = lambda x: F.substring(F.col("_text"), F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
-        seen = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _features(n, x["m"], before(x), F.substring(F.col("_text"), x["e"] + 1, F.lit(1))).alias("f")))
+    def scored(n: int) -> Column:
         margin = lambda f: sum((_compiled(t, f) for t in trees[1:]), _compiled(trees[0], f))
-        out = F.transform(seen, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), margin(x["f"]).alias("p")))
+        seen = F.transform(F.col(f"_ap{n}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _features(n, x["m"], x["before"], x["after"]).alias("f")))
+        out = F.transform(seen, lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("n"), x["e"].alias("e"), margin(x["f"]).alias("p")))
         return F.filter(out, lambda x: x["p"] >= cuts[n])
 
-    rows = rows.withColumn("_more", F.concat(*(scored(n, k) for n, (k, _) in enumerate(PROPOSED))))
-    before = lambda y, x: F.struct(-y["p"], y["s"], y["kind"]) < F.struct(-x["p"], x["s"], x["kind"])
-    kept = F.filter("_more", lambda x: ~F.exists("_more", lambda y: _overlaps(y, x) & before(y, x)))
-    kept = F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    rows = rows.withColumn("_spans", F.when(F.size("_more") > 0, F.sort_array(F.concat("_base", kept))).otherwise(F.col("_base")))
-    return rows.drop("_more", "_text", *(f"_{a}{n}" for a in "msa" for n, _, _ in named))
+    rows = rows.withColumn("_more", F.concat(*(scored(n) for n in range(len(PROPOSED)))))
+    rows = rows.withColumn("_free", _apart(F.col("_more"), F.col("_base")))
+    kinds = F.array(*(F.lit(KINDS.index(k)) for k, _ in PROPOSED))
+    part = lambda c, at, bits: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    kept = F.transform(_likelier(F.col("_free")), lambda c: F.struct(kinds[part(c, 0, 2)].alias("kind"), part(c, 33, 31).alias("s"), part(c, 2, 31).alias("e")))
+    spans = F.when(F.size("_free") > 0, F.sort_array(F.concat("_base", kept))).otherwise(F.col("_base"))
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("_base", "_spans")]
+    return rows.select(*own, "_base", spans.alias("_spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -237,13 +295,22 @@ def joined(spans: Column) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by [KIND]; of overlapping spans the first names the gap."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+
+    def filled(x: Column, chunks: Column, far: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first = F.floor(a / CHUNK).cast("int")
+            some = F.slice(chunks, first + 1, F.floor(b / CHUNK).cast("int") - first + 1)
+            return F.substring(F.array_join(some, ""), a - first * CHUNK + 1, b - a)
+
+        def piece(z: Column, i: Column) -> Column:
+            done = F.when(i > 0, far[i - 1]).otherwise(0)  # up to here the text is given out or replaced
+            return F.when(z["s"] >= done, F.concat(between(done, z["s"]), names[z["kind"]])).otherwise("")
 
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), names[x["kind"]])
-        out = F.when(x["s"] >= acc["at"], F.array_append(acc["out"], piece)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
+        whole = (F.size(chunks) - 1) * CHUNK + F.char_length(F.element_at(chunks, -1))
+        return F.concat(F.array_join(F.transform(x, piece), ""), between(F.element_at(far, -1), whole))
 
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, start, step, end)).otherwise(text)
+    # a long text is cut once, so that a piece of it is found without a walk from its start
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    far = lambda x: running(F.transform(x, lambda z: z["e"]), lambda a, b: F.greatest(a, b))
+    return F.when(F.size(spans) > 0, let(ordered, lambda x: let(chunks, lambda c: let(far(x), lambda f: filled(x, c, f))))).otherwise(text)
