@@ -9,6 +9,8 @@ A record whose payload has at least `least` bytes and equals others' is written
 of the largest page_id; the others are revisits that hold no payload.  Writers that are run again leave
 files that no index row names.
 
+A URL with blanks or control characters is percent-encoded as target URI and kept as given in a header of its own.
+
 Null html is an empty payload, a null url leaves out the target URI, a null page_id leaves out the id and
 is never the largest.  Rows equal in page_id and payload are equal records (all responses if theirs is the
 largest id).
@@ -18,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +36,7 @@ from .common import materialize, new_path
 LEAST = 1000
 FILE_BYTES = 1 << 30  # a new file begins beyond this
 READ_BYTES, GAP_BYTES = 8 << 20, 64 << 10  # largest coalesced read; largest gap read over
+TASK_BYTES = 64 << 20  # archive bytes that a reading task has, about
 INDEX = "page_id long, url string, digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _SPACE = uuid.UUID("5a0a2a4e-6c1f-4f5e-9d5c-8f2a41d0c7b1")
@@ -46,7 +51,10 @@ def _record(page_id, url, payload: bytes, size: int, digest: str, refers_to) ->
     revisit = refers_to is not None
     head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", "1970-01-01T00:00:00Z")]
     if url is not None:
-        head.append(("WARC-Target-URI", "".join(c if c > " " else f"%{ord(c):02X}" for c in url)))
+        target = "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
+        head.append(("WARC-Target-URI", target))
+        if target != url:  # as given
+            head.append(("X-Page-URL", json.dumps(url)))
     head.append(("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()))
     if revisit:
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(refers_to)), ("X-Refers-To-Page", str(refers_to))]
@@ -73,7 +81,7 @@ def _parse(raw: bytes) -> dict:
     if kind == "response" and hashlib.sha1(payload).hexdigest() != said:
         raise ValueError(f"digest of {fields['WARC-Record-ID']} is wrong")
     return {
-        "page_id": number("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": len(payload) if kind == "response" else number("X-Payload-Length"),
+        "page_id": number("X-Page-ID"), "url": json.loads(fields["X-Page-URL"]) if "X-Page-URL" in fields else fields.get("WARC-Target-URI"), "payload_bytes": len(payload) if kind == "response" else number("X-Payload-Length"),
         "payload_digest": said, "record_type": kind, "refers_to": number("X-Refers-To-Page"), "payload": payload if kind == "response" else None,
     }
 
@@ -122,8 +130,11 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 def read_archive(selected: DataFrame, root: str) -> DataFrame:
-    """The records that rows of an index point to."""
-    rows = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    """The records that rows of an index point to.  Tasks are dealt by the bytes to be read, not by the index's size."""
+    spark = selected.sparkSession
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_BYTES))
+    rows = selected.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pyarrow.fs.FileSystem.from_uri(root)
