@@ -3,7 +3,7 @@
 A text's features are its byte trigrams and four-grams, A-Z lowered, each hashed to one of BUCKETS rows of an
 embedding table; the mean of these rows goes through a linear layer and a softmax.  Table and layer are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled texts (SAMPLE of them, whole
-texts, the first in order of a hash of the id).  A part of the sample is left out of training and sets the
+texts, the first in order of a hash of the id), of which the driver sees the hashed features only.  A part of the sample is left out of training and sets the
 softmax temperature and the least score below which a prediction is rejected.
 
 Predictions see the text alone.  A text that is null or has no letter is `und` with score 0.  Without any
@@ -27,7 +27,7 @@ EPOCHS, BATCH, RATE = 10, 32, 0.5
 REJECTED = 0.0005  # share of held-out sample texts that may fall under the least score
 MOST_LEAST = 0.2  # however few texts set it, the least score is never above this part of the way from chance to certainty: 0.4 of four labels
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _BLOCK = 1 << 20  # bytes of a text hashed at once
@@ -49,6 +49,11 @@ def _hashes(text: str) -> Iterator[np.ndarray]:
             yield h & np.uint32(BUCKETS - 1)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of a letter category; fractions and circled numbers are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(BUCKETS, dtype=np.int64)
     for h in _hashes(text):
@@ -59,12 +64,16 @@ def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def train(texts: list[str], labels: list[str], seed: int = 5) -> dict:
     """The model as plain values: labels, one weight row per bucket and label, bias, temperature, least score."""
+    return train_counts([_counts(x) for x in texts], labels, seed)
+
+
+def train_counts(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 5) -> dict:
+    """train() from what _counts() makes of the texts."""
     names = sorted(set(labels))
     if not names:
         return {"labels": [], "weights": np.zeros((BUCKETS, 0), np.float32), "bias": np.zeros(0, np.float32), "temperature": 1.0, "least": 0.0}
     r = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in labels])
-    bags = [_counts(x) for x in texts]
     fit = [i for i in range(len(bags)) if i % 5] or list(range(len(bags)))
     held = [i for i in range(len(bags)) if not i % 5]
     table, layer, bias = r.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32), r.normal(0, 0.3, (DIM, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
@@ -101,7 +110,7 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> dict:
 
 
 def predict(model: dict, text: str | None) -> tuple[str, float]:
-    if text is None or not model["labels"] or not _LETTER.search(text):
+    if text is None or not model["labels"] or not has_letter(text):
         return UNDETERMINED, 0.0
     z, n = model["bias"].astype(np.float64), 0
     total = np.zeros(len(z))
@@ -122,9 +131,20 @@ def fit(labelled: DataFrame, text: Column, label: Column, order: Column, sample:
     rows = labelled.select(text.cast("string").alias("t"), label.cast("string").alias("l"), order.alias("o")).where("t is not null and l is not null")
     # the place of the last of the sample first, so that texts of other rows never leave their tasks
     last = rows.select("o").orderBy("o").limit(sample).agg(F.max("o")).first()[0]
-    got = rows.where(F.col("o") <= last).select("t", "l").limit(2 * sample).collect() if last is not None else []
-    got.sort()
-    return train([r["t"] for r in got], [r["l"] for r in got])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [_counts(x) for x in batch.column("t").to_pylist()]
+            ends = pa.array(np.cumsum([0] + [len(a) for a, _ in bags]), pa.int32())
+            flat = [np.concatenate([bag[k] for bag in bags]) if bags else np.zeros(0) for k in (0, 1)]
+            arrays = [pa.ListArray.from_arrays(ends, pa.array(v, kind)) for v, kind in zip(flat, (pa.int32(), pa.float32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("l"), *arrays], ["o", "l", "at", "w"])
+
+    # a text's features are BUCKETS numbers at most, however long it is
+    some = rows.where(F.col("o") <= F.lit(last)).withColumn("o", F.col("o").cast("long")).limit(2 * sample)
+    got = some.mapInArrow(hashed, "o long, l string, at array<int>, w array<float>").toArrow().sort_by([("o", "ascending"), ("l", "ascending")])
+    column = lambda k, kind: [np.array(x, dtype=kind) for x in got.column(k).to_pylist()]
+    return train_counts(list(zip(column("at", np.int64), column("w", np.float32), strict=True)), got.column("l").to_pylist())
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -64,7 +64,7 @@ def test_warc(spark):
     sha = lambda x: hashlib.sha1((x or "").encode()).hexdigest()
     for i, _, h in pages:
         r = by[i]
-        assert (r[2], r[3]) == (len((h or "").encode()), sha(h))
+        assert (r[2], r[3]) == (len((h or "").encode()), sha(h)) and r[1] == next(u for j, u, _ in pages if j == i)
         revisit = h == big and i != 5
         assert (r[4], r[5]) == (("revisit", 5) if revisit else ("response", None))
         assert r[6] == (None if revisit else (h or "").encode())
@@ -235,6 +235,34 @@ def test_least_score_is_calibrated():
     assert model["least"] > 0.5  # the top score of two languages is never lower, so a lower threshold rejects nothing
 
 
+def test_letters_are_letters():
+    for text in ("½ ²", "①", "12 34 !", "٣", "_", "Ⅷ"):
+        assert not language.has_letter(text)
+    assert language.has_letter("½ a") and language.has_letter("日") and language.has_letter("ʰ")
+
+
+def test_language_forward_pass():
+    """predict() against the same sums one n-gram at a time."""
+    r = random.Random(7)
+    labels = [r.choice(["aa", "bb", "cc"]) for _ in range(60)]
+    model = language.train([invented(r, x) for x in labels], labels)
+    for text in [invented(r, "aa"), "Öl ÄÖÜ 日本", "a", "x" * 500, invented(r, "cc").upper()]:
+        raw = f" {text} ".encode().lower()  # A-Z only
+        total, n = np.zeros(3), 0
+        for size in (3, 4):
+            for at in range(len(raw) - size + 1):
+                h = size
+                for c in raw[at : at + size]:
+                    h = ((h ^ c) * 0x01000193) & 0xFFFFFFFF
+                    h ^= h >> 15
+                total += model["weights"][h % language.BUCKETS].astype(float)
+                n += 1
+        z = (model["bias"] + total / n) / model["temperature"]
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        got = language.predict(model, text)
+        assert got[0] == model["labels"][int(p.argmax())] and got[1] == pytest.approx(p.max(), abs=1e-6)
+
+
 # --- near duplicates -------------------------------------------------------------------------------------------
 
 
