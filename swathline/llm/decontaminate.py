@@ -4,10 +4,14 @@ Of every `window - k + 1` consecutive k-gram hashes the smallest (leftmost on ti
 shared span of `window` words has a fingerprint in common on both sides.  Fingerprints are joined, each
 hit is extended to the whole window and compared word by word, and hit windows are laid over the text.
 
-An item of fewer than `window` words, but not none, is one window; those lengths are matched by the
-hash of exactly that many words.  The benchmark's table is broadcast only up to `BROADCAST_WINDOWS`
-rows; beyond that fingerprints carry the words around them into a shuffled join, whose skewed keys
-adaptive execution splits.
+An item of fewer than `window` words, but not none, is one window; its fingerprint is the hash of all its words, and
+texts are probed with the hashes of exactly that many words at every place.
+
+There is one plan for benchmarks of every size.  A text's fingerprints, its places and one entry that stands for the text
+itself are joined, as a few numbers each, to the distinct fingerprints of the benchmark, which are written first; what is
+found is written too, and the texts that were hit are read again to compare words.  The joins carry no hint: the optimiser
+broadcasts a side whose written size is below its limit, else sorts and merges.  The text's own entry has a hash of its
+own as key, so such entries meet in no one place.
 
 Nulls and empty texts have no words.  Rows equal in id and text give one result row; null ids are kept.
 Items equal in id and text count once; null item ids are left out of the list and not counted.
@@ -18,18 +22,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import indices, words
+from .common import indices, materialize, words
 
 WINDOW, K = 10, 5
-BROADCAST_WINDOWS = 50_000
 POSITION_BITS = 28  # of a fingerprint: the hash above, the position below
 
 
-def _packed(w: Column, k: int) -> Column:
+def _gram(h: Column, i: Column, k: int) -> Column:
+    """The hash of k words from place i, from the hashes of words."""
+    return F.xxhash64(*(h[i + j] for j in range(k)))
+
+
+def _packed(h: Column, k: int) -> Column:
     """The k-gram hashes of a text with their positions in the low bits: the order is by hash, then position."""
-    gram = lambda i: F.xxhash64(*(w[i + j] for j in range(k)))
-    place = lambda i: F.shiftleft(F.shiftright(gram(i), POSITION_BITS), POSITION_BITS).bitwiseOR(i.cast("long"))
-    return F.transform(indices(F.size(w) - (k - 1)), place)
+    place = lambda i: F.shiftleft(F.shiftright(_gram(h, i, k), POSITION_BITS), POSITION_BITS).bitwiseOR(i.cast("long"))
+    return F.transform(indices(F.size(h) - (k - 1)), place)
 
 
 def _position(p: Column) -> Column:
@@ -40,64 +47,61 @@ def _hash(p: Column) -> Column:
     return F.shiftright(p, POSITION_BITS)
 
 
+def _hashed(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
 def fingerprints(texts: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """Adds _fps to rows with an array _w of words: the winnowed fingerprints."""
+    """Adds _fps to rows with an array _h of word hashes: the winnowed fingerprints."""
     many = window - k + 1
-    rows = texts.withColumn("_grams", _packed(F.col("_w"), k))
-    least = F.transform(indices(F.size("_grams") - (many - 1)), lambda j: F.array_min(F.slice("_grams", j + 1, many)))
-    return rows.withColumn("_fps", F.array_distinct(least)).drop("_grams")
+    rows = texts.withColumn("_grams", _packed(F.col("_h"), k))
+    g = F.col("_grams")
+    least = lambda j: F.least(*(g[j + i] for i in range(many))) if many > 1 else g[j]
+    return rows.withColumn("_fps", F.array_distinct(F.transform(indices(F.size(g) - (many - 1)), least))).drop("_grams")
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """(len, fp, offset, win, items): each distinct window of the benchmark with the ids that hold it."""
     w = F.col("_w")
-    rows = items.select(F.col("item_id").cast("string").alias("_item"), words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    rows = items.select(F.col("item_id").cast("string").alias("_item"), words(F.col("text")).alias("_w")).where(F.size("_w") > 0).withColumn("_h", _hashed(w))
     many = window - k + 1
-    long = rows.where(F.size("_w") >= window).withColumn("_grams", _packed(w, k))
+    long = rows.where(F.size("_w") >= window).withColumn("_grams", _packed(F.col("_h"), k))
     long = long.select("_item", "_w", "_grams", F.explode(indices(F.size("_grams") - (many - 1))).alias("_s"))
     long = long.withColumn("_min", F.array_min(F.slice("_grams", F.col("_s") + 1, many)))
     long = long.select("_item", F.lit(window).alias("len"), _hash(F.col("_min")).alias("fp"), (_position(F.col("_min")) - F.col("_s")).alias("offset"), F.slice("_w", F.col("_s") + 1, window).alias("win"))
-    short = rows.where(F.size("_w") < window).select("_item", F.size("_w").alias("len"), F.lit(None).cast("long").alias("fp"), F.lit(0).alias("offset"), w.alias("win"))
+    short = rows.where(F.size("_w") < window).select("_item", F.size("_w").alias("len"), F.coalesce(*(F.when(F.size("_w") == m, _gram(F.col("_h"), F.lit(0), m)) for m in range(1, window))).alias("fp"), F.lit(0).alias("offset"), w.alias("win"))
     return long.unionByName(short).groupBy("len", "fp", "offset", "win").agg(F.collect_set("_item").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """One row per text: n_words, n_hit, n_items, items (sorted ids as strings), contaminated."""
-    wins = item_windows(benchmark, window, k).cache()
-    try:
-        sizes = {r["len"]: r["count"] for r in wins.groupBy("len").count().collect()}  # at most `window` rows
-    finally:
-        wins.unpersist()
-    small = sum(sizes.values()) <= BROADCAST_WINDOWS
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), words(F.col(text_col)).alias("_w"))
-
-    def matched(at: DataFrame, table: DataFrame, length: int, how: str) -> DataFrame:
-        """at: (_id, _key, _w, fp, _p); extends the hits.  A null fp stands for the text itself."""
-        reach = length - 1 if length < window else window - k
-        base = F.greatest(F.col("_p") - reach, F.lit(0))
-        near = [F.size("_w").cast("long").alias("n_words"), F.slice("_w", base + 1, length + reach).alias("_near"), base.alias("_base")]
-        table = table.select("fp", "offset", "win", "items")
-        if small:  # the array of words is only referred to, not copied, up to here
-            hits = at.join(F.broadcast(table), "fp", how).select("_id", "_key", "fp", "_p", "offset", "win", "items", *near)
-        else:
-            hits = at.select("_id", "_key", "fp", "_p", *near).join(table, "fp", how)
-        start = F.col("_p") - F.col("offset")
-        same = (start >= F.col("_base")) & (F.slice("_near", F.greatest(start - F.col("_base"), F.lit(0)) + 1, length) == F.col("win"))
-        out = hits.where(F.col("fp").isNull() | same)
-        return out.select("_id", "_key", "n_words", F.when(F.col("items").isNotNull(), F.struct(start.alias("s"), F.lit(length).alias("n"))).alias("_at"), "items")
-
-    one = fingerprints(rows, window, k).withColumn("_fp", F.explode(F.concat(F.array(F.lit(None).cast("long")), "_fps")))
-    parts = [matched(one.select("_id", "_key", "_w", _hash(F.col("_fp")).alias("fp"), _position(F.col("_fp")).alias("_p")), wins.where(F.col("len") == window), window, "left")]
-    for m in sorted(x for x in sizes if x < window):
-        gram = lambda a, i, m=m: F.xxhash64(*(F.col(a)[i + j] for j in range(m)))
-        at = rows.select("_id", "_key", "_w", F.explode(indices(F.size("_w") - (m - 1))).alias("_p"))
-        at = at.select("_id", "_key", "_w", gram("_w", F.col("_p")).alias("fp"), "_p")
-        table = wins.where(F.col("len") == m).withColumn("fp", gram("win", F.lit(0)))
-        parts.append(matched(at, table, m, "inner"))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    per = hits.groupBy("_id", "_key").agg(
+    wins = materialize(item_windows(benchmark, window, k), "windows")
+    known = materialize(wins.select("len", "fp").distinct(), "window-hashes")
+    short = sorted(r["len"] for r in known.where(F.col("len") < window).select("len").distinct().collect())  # fewer than `window` rows
+
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    rows = texts.withColumn("_w", words(F.col("_text"))).withColumn("_h", _hashed(F.col("_w")))
+    probe = lambda n, h, p: F.struct(F.lit(n).alias("len"), h.alias("fp"), p.cast("int").alias("p"))
+    h = F.col("_h")
+    own = F.array(probe(0, F.xxhash64("_id", "_key"), F.lit(-1)))
+    long = F.transform("_fps", lambda x: probe(window, _hash(x), _position(x)))
+    places = [F.transform(indices(F.size(h) - (m - 1)), lambda i: probe(m, _gram(h, i, m), i)) for m in short]  # noqa: B023
+    probes = fingerprints(rows, window, k).select("_id", "_key", F.size("_w").cast("long").alias("n_words"), F.explode(F.concat(own, long, *places)).alias("x")).select("_id", "_key", "n_words", "x.*")
+    met = probes.join(known.withColumn("_known", F.lit(True)), ["len", "fp"], "left").where("_known or len = 0")
+    found = materialize(met.groupBy("_id", "_key", "n_words").agg(F.collect_set(F.when(F.col("len") > 0, F.struct("len", "fp", "p"))).alias("at")), "hits")
+
+    # the words around the hits, to compare
+    hit = found.where(F.size("at") > 0).select(F.col("_id").alias("i"), F.col("_key").alias("y"), "at")
+    again = texts.join(hit, texts["_id"].eqNullSafe(hit["i"]) & (texts["_key"] == hit["y"])).select("_id", "_key", words(F.col("_text")).alias("_w"), "at")
+    reach = lambda x: F.when(x["len"] == window, window - k).otherwise(0)
+    base = lambda x: F.greatest(x["p"] - reach(x), F.lit(0))
+    near = F.transform("at", lambda x: F.struct(x["len"].alias("len"), x["fp"].alias("fp"), x["p"].alias("p"), base(x).alias("base"), F.slice("_w", base(x) + 1, x["len"] + reach(x)).alias("near")))
+    around = again.select("_id", "_key", F.explode(near).alias("x")).select("_id", "_key", "x.*")
+    start = F.col("p") - F.col("offset")
+    same = (start >= F.col("base")) & (F.slice("near", F.greatest(start - F.col("base"), F.lit(0)) + 1, F.col("len")) == F.col("win"))
+    hits = around.join(wins, ["len", "fp"]).where(same).select("_id", "_key", F.lit(None).cast("long").alias("n_words"), F.struct(start.alias("s"), F.col("len").alias("n")).alias("_at"), "items")
+    every = found.select("_id", "_key", "n_words", F.lit(None).cast(hits.schema["_at"].dataType).alias("_at"), F.lit(None).cast("array<string>").alias("items"))
+    per = every.unionByName(hits).groupBy("_id", "_key").agg(
         F.max("n_words").alias("n_words"), F.collect_set("_at").alias("_at"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     )
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1))))

@@ -90,10 +90,17 @@ def test_license_body_with_gaps(spark):
 ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "Short item here"), (3, None), (4, "!!"), (5, "a a a a a a a a a a a"), (10, "two three four five six seven eight nine ten eleven"), (1, "one two three four five six seven eight nine ten eleven twelve")]
 
 
-@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WINDOWS, 0])
-def test_decontamination(spark, monkeypatch, bound):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
-    texts = [(1, "zero One two three four five six seven eight nine ten eleven, twelve one two"), (2, "x short item, here short item"), (3, None), (4, "a " * 30), (5, "a " * 9), (6, "nothing of it"), (7, ""), (1, "zero One two three four five six seven eight nine ten eleven, twelve one two")]
+@pytest.fixture(params=["10m", "-1"])
+def broadcast_limit(spark, request):
+    """Spark's own limit of broadcast sides: the joins must give the same with and without broadcasts."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_decontamination(spark, broadcast_limit):
+    texts = [(1, "zero One two three four five six seven eight nine ten eleven, twelve one two"), (2, "x short item, here short item"), (3, None), (4, "a " * 30), (5, "a " * 9), (6, "nothing of it"), (7, ""), (None, "short item here twice: Short, item here"), (1, "zero One two three four five six seven eight nine ten eleven, twelve one two")]
     docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 as items", "2 as fp")
     got = {(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"])) for r in decontaminate.contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
     want = set()
