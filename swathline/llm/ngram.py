@@ -12,7 +12,8 @@ and quantised to 256 levels; contexts unseen, or words unseen after them, back o
 
 Counts come from all training texts.  Each level is written in shards by ranges of hash bits, a context's
 successors spread over several shards, so no word, however frequent, makes a large shard.  Shards are files in
-the shared folder that scorers map into memory; where that folder isn't a mounted one they are read whole.
+the shared folder that scorers map into memory; where that folder isn't a mounted one they are read whole.  A scorer
+keeps up to HELD bytes of opened shards of each level, whatever the size of the model.
 Word counts are combined per task before they are shuffled.
 
 Null texts are empty and consist of the end token alone.  Each input row gives one output row.  A null id
@@ -24,6 +25,7 @@ from __future__ import annotations
 import io
 import json
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -40,6 +42,7 @@ PRIOR = 100.0
 BITS = 12  # both levels are dealt into 2**BITS buckets, or 16 for each shuffle partition if that is more
 SPREAD = 64  # buckets over which one context's successors lie
 LEVELS = 256
+HELD = 256 << 20  # bytes of opened shards that a scorer keeps of each level
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,6 +159,25 @@ def _store(root: str, name: str, arrays: dict[str, np.ndarray]) -> None:
         f.write(out.getbuffer())
 
 
+class Held:
+    """Opened shards, the least recently used let go beyond HELD bytes (those last asked for stay)."""
+
+    def __init__(self, root: str, make):
+        self.root, self.make, self.size = root, make, 0
+        self.shards: OrderedDict[str, tuple] = OrderedDict()
+
+    def __getitem__(self, name: str):
+        if name not in self.shards:
+            parts = _open(self.root, name)
+            size = sum(a.nbytes for a in parts.values())
+            self.shards[name] = (self.make(parts), size)
+            self.size += size
+            while self.size > HELD and len(self.shards) > 1:
+                self.size -= self.shards.popitem(last=False)[1][1]
+        self.shards.move_to_end(name)
+        return self.shards[name][0]
+
+
 def _open(root: str, name: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped into memory where the folder is mounted."""
     at = urlparse(root)
@@ -183,7 +205,7 @@ class Words:
         for b, f, at, n in buckets:
             self.file_of[b], self.shift[b] = place[f], self.known - at
             self.known += n
-        self.open: dict[int, tuple] = {}
+        self.held = Held(root, lambda parts: (parts["hash"], parts["count"]))
 
     def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1 if unknown) and count of each of some hashes (uint64, in order)."""
@@ -192,10 +214,7 @@ class Words:
         file = self.file_of[b]
         for k in np.unique(file[file >= 0]):
             at = np.flatnonzero(file == k)
-            if k not in self.open:
-                parts = _open(self.root, self.files[k])
-                self.open[k] = (parts["hash"], parts["count"])
-            table, n = self.open[k]
+            table, n = self.held[self.files[k]]
             i = np.minimum(np.searchsorted(table, hashes[at]), len(table) - 1)
             same = table[i] == hashes[at]
             number[at] = np.where(same, i + self.shift[b[at]], -1)
@@ -389,7 +408,7 @@ class Scorer:
         self.shard_of = np.full(1 << self.words.bits, -1, dtype=np.int32)
         for b, f in model["pairs"].items():
             self.shard_of[b] = place[f]
-        self.open: dict[int, Shard] = {}
+        self.held = Held(model["root"], Shard)
 
     def score(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and model score of each text."""
@@ -406,10 +425,8 @@ class Scorer:
         both = np.flatnonzero((number[a] >= 0) & (number[b] >= 0))
         shard = self.shard_of[bucket(u[a[both]], u[b[both]], self.words.bits)]
         for k in np.unique(shard[shard >= 0]):
-            if k not in self.open:
-                self.open[k] = Shard(_open(self.model["root"], self.files[k]))
             q = both[shard == k]
-            p[q] = self.open[k].look(number[a[q]], number[b[q]])
+            p[q] = self.held[self.files[k]].look(number[a[q]], number[b[q]])
         off = np.log10(PRIOR) - np.log10(count[a] + PRIOR) + log[b]
         model[at] = np.where(np.isnan(p), off, p)[pair]
         return known, base, np.add.reduceat(model, starts)
