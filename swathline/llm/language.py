@@ -142,9 +142,11 @@ def fit(labelled: DataFrame, text: Column, label: Column, order: Column, sample:
 
     # a text's features are BUCKETS numbers at most, however long it is
     some = rows.where(F.col("o") <= F.lit(last)).withColumn("o", F.col("o").cast("long")).limit(2 * sample)
-    got = some.mapInArrow(hashed, "o long, l string, at array<int>, w array<float>").toArrow().sort_by([("o", "ascending"), ("l", "ascending")])
-    column = lambda k, kind: [np.array(x, dtype=kind) for x in got.column(k).to_pylist()]
-    return train_counts(list(zip(column("at", np.int64), column("w", np.float32), strict=True)), got.column("l").to_pylist())
+    got = some.mapInArrow(hashed, "o long, l string, at array<int>, w array<float>").toArrow().combine_chunks()
+    names, place = got.column("l").to_pylist(), got.column("o").to_pylist()
+    at, w = ([x.values.to_numpy()[a:b] for x in got.column(k).chunks for a, b in zip(x.offsets.to_numpy(), x.offsets.to_numpy()[1:], strict=False)] for k in ("at", "w"))
+    order = sorted(range(len(names)), key=lambda i: (place[i], names[i]))
+    return train_counts([(at[i], w[i]) for i in order], [names[i] for i in order])
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -411,6 +411,27 @@ def test_scores(spark):
     assert {tuple(x)[2:] for x in ngram.score(df, none).collect()} == {(0, 0.0, 0.0)}
 
 
+def test_scorer_lets_shards_go(spark, monkeypatch):
+    """The same scores with shards read whole, as from an object store, and hardly any of them kept."""
+    r = random.Random(3)
+    texts = [(i, " ".join(r.choice("abcdefghij") * r.randint(1, 9) for _ in range(40))) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = ngram.train(docs)
+    import pyarrow as pa
+
+    batch = [(tokens.hashes(raw, rows, end=True)) for raw, rows in tokens.slices(pa.array([t for _, t in texts]), 500)]
+    want = [ngram.Scorer(model).score(*x) for x in batch]
+    plain = ngram.Scorer(model)
+    monkeypatch.setattr(ngram, "HELD", 1)
+    monkeypatch.setattr(ngram, "urlparse", lambda root: type("At", (), {"scheme": "store", "path": ""}))
+    few = ngram.Scorer(model)
+    for x, w in zip(batch, want, strict=True):
+        for got in (plain.score(*x), few.score(*x)):
+            assert all(np.array_equal(a, b) for a, b in zip(got, w, strict=True))
+        assert len(few.held.shards) <= 1 and len(few.words.held.shards) <= 1
+    assert len(set(model["pairs"].values())) > 1
+
+
 # --- vectors ---------------------------------------------------------------------------------------------------
 
 
