@@ -40,12 +40,12 @@ def _reference(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _target(spark: SparkSession, d: str) -> DataFrame:
-    return points(spark, d).where("point_id % 3 <> 0").withColumn("x", F.col("x") + (F.col("point_id") % 7) / F.lit(100.0))
+    return points(spark, d).withColumn("t", F.col("t") + F.when(F.col("point_id") % 3 == 0, 1).otherwise(0)).withColumn("x", F.col("x") + (F.col("point_id") % 7) / F.lit(100.0))
 
 
 ERRORS_SQL = POINTS_SQL + """,
 ref AS (SELECT src, t, x, y FROM pts UNION ALL SELECT src, t, x, y FROM pts WHERE point_id % 50 = 0),
-tgt AS (SELECT src, t, x + (point_id % 7) / CAST(100 AS DOUBLE) AS x, y, point_id FROM pts WHERE point_id % 3 <> 0),
+tgt AS (SELECT src, t + CASE WHEN point_id % 3 = 0 THEN 1 ELSE 0 END AS t, x + (point_id % 7) / CAST(100 AS DOUBLE) AS x, y, point_id FROM pts),
 r1 AS (SELECT src, t, any_value(x) AS x, any_value(y) AS y FROM ref GROUP BY src, t HAVING count(*) = 1),
 t1 AS (SELECT src, t, any_value(x) AS x, any_value(y) AS y FROM tgt GROUP BY src, t HAVING count(*) = 1),
 e AS (SELECT src, t, t1.x - r1.x AS dx, CAST(t1.y - r1.y AS DOUBLE) AS dy, sqrt((t1.x - r1.x) * (t1.x - r1.x) + (t1.y - r1.y) * (t1.y - r1.y)) AS e FROM r1 JOIN t1 USING (src, t))"""
@@ -145,14 +145,14 @@ def time_window_or(spark: SparkSession, d: str) -> DataFrame:
     return clouds.required(points(spark, d).where(scalars.any_window(F.col("t"), WINDOWS, HOUR)).select("point_id", "t"), "no point in the windows")
 
 
-MANIFEST_SQL = POINTS_SQL + ", man AS (SELECT scan, min(t) AS t_min, max(t) AS t_max FROM pts WHERE point_id % 40 = scan % 40 GROUP BY scan)"
+MANIFEST_SQL = POINTS_SQL + ", man AS (SELECT scan, min(t) AS t_min, max(t) AS t_max FROM pts GROUP BY scan)"
 
 
 @query(f"""WITH {MANIFEST_SQL}, k AS (SELECT scan FROM man WHERE {' OR '.join(f'(t_max >= {a - HOUR} AND t_min <= {a + b + HOUR})' for a, b in WINDOWS)})
 SELECT p.scan, count(*) AS n FROM pts p JOIN k USING (scan) GROUP BY p.scan""")
 def manifest_prune(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    man = clouds.time_bounds(p.where("point_id % 40 = scan % 40"), ["scan"])
+    man = clouds.time_bounds(p, ["scan"])
     keep = clouds.within_manifest(man, WINDOWS, HOUR).select("scan")
     return p.join(keep, "scan", "left_semi").groupBy("scan").agg(F.count("*").alias("n"))
 
@@ -173,11 +173,11 @@ def las_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {POINTS_SQL},
-a AS (SELECT scan, min(point_id) AS f FROM pts WHERE src = 'view' AND scan % 3 <> 0 GROUP BY scan), b AS (SELECT scan, min(point_id) AS f FROM pts WHERE src = 'click' AND scan % 2 = 0 GROUP BY scan)
+a AS (SELECT scan, min(point_id) AS f FROM pts WHERE src = 'view' GROUP BY scan), b AS (SELECT scan, min(point_id) AS f FROM pts WHERE src = 'click' GROUP BY scan)
 SELECT scan AS scan_id, a.f AS file_0, b.f AS file_1, CAST(1000 * row_number() OVER (ORDER BY scan) AS INTEGER) AS label FROM a JOIN b USING (scan)""")
 def merge_pairing(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d).select(F.col("scan").alias("scan_id"), F.col("point_id").alias("filename"), "src")
-    return clouds.pair_scans(p.where("src = 'view' and scan_id % 3 <> 0"), p.where("src = 'click' and scan_id % 2 = 0"))
+    return clouds.pair_scans(p.where("src = 'view'"), p.where("src = 'click'"))
 
 
 SCANS_SQL = "scans AS (SELECT CAST(floor((t - 1704067200000000) / 86400000000.0) AS BIGINT) AS scan_id, min(t) AS t_start, max(t) AS t_end FROM pts WHERE src = 'view' GROUP BY 1)"
@@ -205,12 +205,12 @@ def union_clouds(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum("scanner_src").alias("sum_src")), 4)
 
 
-@query(f"""WITH {POINTS_SQL}, m AS (SELECT scan, min(t) AS a, max(t) AS b FROM pts WHERE point_id % 3 = 0 GROUP BY scan), r AS (SELECT scan AS ref, scan AS ref_pos, min(t) AS c, max(t) AS e FROM pts WHERE point_id % 11 = 0 AND scan % 4 = 1 GROUP BY scan)
+@query(f"""WITH {POINTS_SQL}, m AS (SELECT scan, min(t) AS a, max(t) AS b FROM pts WHERE src = 'view' GROUP BY scan), r AS (SELECT scan AS ref, scan AS ref_pos, min(t) AS c, max(t) AS e FROM pts WHERE src = 'click' GROUP BY scan)
 SELECT scan AS target, ref, least(b, e) - greatest(a, c) AS overlap FROM m, r WHERE least(b, e) > greatest(a, c) QUALIFY row_number() OVER (PARTITION BY scan ORDER BY least(b, e) - greatest(a, c) DESC, ref_pos) = 1""")
 def best_overlap(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    t = p.where("point_id % 3 = 0").groupBy(F.col("scan").alias("target")).agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"))
-    r = p.where("point_id % 11 = 0 and scan % 4 = 1").groupBy(F.col("scan").alias("ref")).agg(F.min("t").alias("r_start"), F.max("t").alias("r_end")).withColumn("ref_pos", F.col("ref"))
+    t = p.where("src = 'view'").groupBy(F.col("scan").alias("target")).agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"))
+    r = p.where("src = 'click'").groupBy(F.col("scan").alias("ref")).agg(F.min("t").alias("r_start"), F.max("t").alias("r_end")).withColumn("ref_pos", F.col("ref"))
     return clouds.best_overlap(t, r, 5.0 * DAY).select("target", "ref", "overlap")
 
 
@@ -305,12 +305,13 @@ def common_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 # --- pairs -----------------------------------------------------------------------------------------------------
 
-BOXES_SQL = POINTS_SQL + ", bx AS (SELECT scan * 1000 + CAST(floor((t - 1704067200000000) / 432000000000.0) AS BIGINT) AS chunk, scan, min(t) AS t_start, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM pts WHERE point_id % 7 = 0 GROUP BY ALL)"
+BOXES_SQL = POINTS_SQL + ", bx AS (SELECT CAST(floor((t - 1704067200000000) / 7200000000.0) AS BIGINT) AS chunk, CAST(floor((t - 1704067200000000) / 86400000000.0) AS BIGINT) AS scan, min(t) AS t_start, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM pts GROUP BY ALL)"
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    chunk = F.col("scan") * 1000 + F.floor((F.col("t") - START) / (5.0 * DAY)).cast("long")
-    rows = points(spark, d).where("point_id % 7 = 0").withColumn("chunk", chunk)
+    """Chunks of two hours in scans of a day, with the extents of all their points."""
+    number = lambda unit: F.floor((F.col("t") - START) / float(unit)).cast("long")
+    rows = points(spark, d).withColumns({"chunk": number(2 * HOUR), "scan": number(DAY)})
     return chunking.chunk_boxes(rows, ["chunk", "scan"]).drop("t_end")
 
 
@@ -326,18 +327,16 @@ def cross_scan_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.across_scans(_boxes(spark, d).select("scan", "chunk"))
 
 
-@query(f"""WITH {BOXES_SQL}, s AS (SELECT chunk, x_min, x_min + (x_max - x_min) / 50 AS x_max, y_min, y_min + (y_max - y_min) / 50.0 AS y_max, row_number() OVER (ORDER BY t_start, chunk) - 1 AS seq FROM bx)
+@query(f"""WITH {BOXES_SQL}, s AS (SELECT chunk, x_min, x_max, y_min, y_max, row_number() OVER (ORDER BY t_start, chunk) - 1 AS seq FROM bx)
 SELECT a.chunk AS a, b.chunk AS b, CAST(a.seq AS INTEGER) AS seq_a, CAST(b.seq AS INTEGER) AS seq_b FROM s a JOIN s b ON a.seq + 10 < b.seq AND a.x_min - 0.5 <= b.x_max AND b.x_min - 0.5 <= a.x_max AND a.y_min - 0.5 <= b.y_max AND b.y_min - 0.5 <= a.y_max""")
 def crossing_pairs(spark: SparkSession, d: str) -> DataFrame:
-    b = _boxes(spark, d)
-    b = b.withColumns({f"{c}_max": F.col(f"{c}_min") + (F.col(f"{c}_max") - F.col(f"{c}_min")) / 50 for c in "xy"})
-    return pairs.crossings(b, 10, 0.5, 4.0)
+    return pairs.crossings(_boxes(spark, d), 10, 0.5, 200.0)
 
 
-@query(f"""WITH {POINTS_SQL}, f AS (SELECT DISTINCT scan AS a, y AS b FROM pts WHERE y <> scan AND point_id % 2 = 0)
+@query(f"""WITH {POINTS_SQL}, f AS (SELECT DISTINCT scan AS a, y AS b FROM pts WHERE y <> scan)
 SELECT x.a, CAST(x.b AS BIGINT) AS b, 'Patch_from_scan_' || x.a || '_with_' || x.b || '.las' AS file_ab, 'Patch_from_scan_' || x.b || '_with_' || x.a || '.las' AS file_ba FROM f x JOIN f z ON x.a = z.b AND x.b = z.a WHERE x.a < x.b""")
 def reciprocal_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d).where("y <> scan and point_id % 2 = 0")
+    p = points(spark, d).where("y <> scan")
     return pairs.reciprocal(p.select(F.format_string("Patch_from_scan_%d_with_%d.las", "scan", "y").alias("name")))
 
 
@@ -355,8 +354,7 @@ def pair_separation(spark: SparkSession, d: str) -> DataFrame:
 # --- joins by time and place -----------------------------------------------------------------------------------
 
 
-@query(f"""WITH {POINTS_SQL}, m AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) + (o_orderkey % 24) * 3600000000 AS q FROM orders WHERE o_orderkey % 10 = 0 AND o_orderdate >= '2024-01-01'),
-m2 AS (SELECT point_id AS id, t + (point_id % 1000) * 1000000 AS q FROM pts WHERE src = 'error'),
+@query(f"""WITH {POINTS_SQL}, m2 AS (SELECT point_id AS id, t + (point_id % 1000) * 1000000 AS q FROM pts WHERE src = 'error'),
 c AS (SELECT id, q, p.point_id, abs(p.t - q) AS dt FROM m2 JOIN pts p ON p.src = 'view' AND p.t > q - 1800000000 AND p.t < q + 1800000000)
 SELECT m2.id, q, b.point_id, b.dt FROM m2 LEFT JOIN (SELECT id, point_id, dt FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY dt, point_id) = 1) b USING (id)""")
 def nearest_time(spark: SparkSession, d: str) -> DataFrame:
@@ -386,36 +384,36 @@ def reproject(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("id", "point_id", "dist"))
 
 
-@query(f"""WITH {POINTS_SQL}, q AS (SELECT point_id AS id, t - 18000000 AS q, x AS qx, y AS qy FROM pts WHERE src = 'error' AND point_id % 5 = 0),
+@query(f"""WITH {POINTS_SQL}, q AS (SELECT point_id AS id, t - 18000000 AS q, x AS qx, y AS qy FROM pts WHERE src = 'error'),
 c AS (SELECT id, p.point_id, p.t, sqrt((p.x - qx) * (p.x - qx) + (p.y - qy) * (p.y - qy)) AS dist FROM q JOIN pts p ON p.src <> 'error' AND p.t > q - 3600000000 AND p.t < q + 3600000000),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, point_id) = 1)
 SELECT q.id, round(dist, 6) AS dist, t AS ref_t FROM q LEFT JOIN (SELECT * FROM b WHERE dist <= 30) USING (id)""")
 def nearest_reference(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    q = p.where("src = 'error' and point_id % 5 = 0").select(F.col("point_id").alias("id"), (F.col("t") - 18_000_000).alias("q"), "x", "y")
+    q = p.where("src = 'error'").select(F.col("point_id").alias("id"), (F.col("t") - 18_000_000).alias("q"), "x", "y")
     rows = matching.nearest_reference(q, p.where("src <> 'error'").select("point_id", "t", "x", "y"), HOUR, 30.0, HOUR, "id", "q", ["x", "y"], ["point_id"])
     return rounded(rows.select("id", "dist", "ref_t"))
 
 
-@query(f"""WITH {CLOUD_SQL}, m AS (SELECT point_id AS id, src, x AS mx, y AS my, z AS mz FROM cloud WHERE point_id % 5 = 0)
+@query(f"""WITH {CLOUD_SQL}, m AS (SELECT point_id AS id, src, x AS mx, y AS my, z AS mz FROM cloud)
 SELECT id, count(point_id) AS n, round(count(point_id) / (pi() * 0.15 * 0.15), 1) AS density FROM m LEFT JOIN cloud c ON m.src = c.src AND abs(z - mz) < 0.1 AND (x - mx) * (x - mx) + (y - my) * (y - my) <= 0.15 * 0.15 GROUP BY id""")
 def density(spark: SparkSession, d: str) -> DataFrame:
     c = cloud(spark, d)
-    marks = c.where("point_id % 5 = 0").select(F.col("point_id").alias("id"), "src", *(F.col(a).alias(f"m{a}") for a in "xyz"))
+    marks = c.select(F.col("point_id").alias("id"), "src", *(F.col(a).alias(f"m{a}") for a in "xyz"))
     return matching.density(marks, c.select("src", "x", "y", "z"), 0.15, 0.1, "id", ["src"]).select("id", "n", "density")
 
 
 VECTORS_SQL = POINTS_SQL + """,
-v AS (SELECT t AS time_a, t + point_id % 3 AS time_b, x / 15 AS rng FROM pts WHERE src = 'view'), nom AS (SELECT t AS time_a, abs(sin(x)) AS e FROM pts WHERE point_id % 2 = 0),
-o AS (SELECT t AS time_a, t + point_id % 3 AS time_b, abs(cos(x)) AS e_out FROM pts WHERE point_id % 5 <> 0),
+v AS (SELECT t AS time_a, t + point_id % 3 AS time_b, x / 15 AS rng FROM pts WHERE src = 'view'), nom AS (SELECT t AS time_a, abs(sin(x)) AS e FROM pts),
+o AS (SELECT t AS time_a, t + point_id % 4 % 3 AS time_b, abs(cos(x)) AS e_out FROM pts),
 j AS (SELECT * FROM v JOIN nom USING (time_a) LEFT JOIN o USING (time_a, time_b))"""
 
 
 def _vector_errors(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     v = p.where("src = 'view'").select(F.col("t").alias("time_a"), (F.col("t") + F.col("point_id") % 3).alias("time_b"), (F.col("x") / 15).alias("rng"))
-    nominal = p.where("point_id % 2 = 0").select(F.col("t").alias("time_a"), F.abs(F.sin("x")).alias("e"))
-    outage = p.where("point_id % 5 <> 0").select(F.col("t").alias("time_a"), (F.col("t") + F.col("point_id") % 3).alias("time_b"), F.abs(F.cos("x")).alias("e_out"))
+    nominal = p.select(F.col("t").alias("time_a"), F.abs(F.sin("x")).alias("e"))
+    outage = p.select(F.col("t").alias("time_a"), (F.col("t") + F.col("point_id") % 4 % 3).alias("time_b"), F.abs(F.cos("x")).alias("e_out"))
     return matching.vector_errors(v, nominal, outage)
 
 
@@ -439,9 +437,9 @@ def l2l_by_pair(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.groupBy("day").agg(F.count("*").alias("n"), F.median("e").alias("median")))
 
 
-@query("SELECT l_linenumber AS time_a, l_orderkey AS x_b, l_partkey AS x_a, l_suppkey AS time_b FROM lineitem WHERE l_orderkey % 50 = 0")
+@query("SELECT l_linenumber AS time_a, l_orderkey AS x_b, l_partkey AS x_a, l_suppkey AS time_b FROM lineitem")
 def swap_sides(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("time_a"), F.col("l_orderkey").alias("x_a"), F.col("l_partkey").alias("x_b"), F.col("l_linenumber").alias("time_b"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("time_a"), F.col("l_orderkey").alias("x_a"), F.col("l_partkey").alias("x_b"), F.col("l_linenumber").alias("time_b"))
     return matching.swap_sides(rows, ["time", "x"])
 
 
@@ -454,11 +452,11 @@ def lcp_summary(spark: SparkSession, d: str) -> DataFrame:
 # --- rasters, rectangles, axes ---------------------------------------------------------------------------------
 
 GRID = footprint.Grid(0.0, 100.0, 10.0, 60, 12)
-FOOT_SQL = POINTS_SQL + ", fp AS (SELECT src AS flight, CAST(floor((100 - y) / 10.0) AS INTEGER) AS row, CAST(floor(x / 10.0) AS INTEGER) AS col, min(t) AS tmin, max(t) AS tmax, count(*) AS n FROM pts WHERE x > 100 AND floor((100 - y) / 10.0) BETWEEN 0 AND 11 AND floor(x / 10.0) BETWEEN 0 AND 59 GROUP BY ALL)"
+FOOT_SQL = POINTS_SQL + ", fp AS (SELECT src AS flight, CAST(floor((100 - y) / 10.0) AS INTEGER) AS row, CAST(floor(x / 10.0) AS INTEGER) AS col, min(t) AS tmin, max(t) AS tmax, count(*) AS n FROM pts WHERE floor((100 - y) / 10.0) BETWEEN 0 AND 11 AND floor(x / 10.0) BETWEEN 0 AND 59 GROUP BY ALL)"
 
 
 def _footprint(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d).where("x > 100").select(F.col("src").alias("flight"), "t", "x", F.col("y").cast("double").alias("y"))
+    p = points(spark, d).select(F.col("src").alias("flight"), "t", "x", F.col("y").cast("double").alias("y"))
     return footprint.rasterize(p, GRID)
 
 
@@ -501,8 +499,7 @@ def pca_axis(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _zones(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d).where("x < 100").select(F.col("src").alias("flight"), "t", "x", F.col("y").cast("double").alias("y"))
-    return footprint.overlap_cells(footprint.rasterize(p, GRID))
+    return footprint.overlap_cells(_footprint(spark, d))
 
 
 @query()
