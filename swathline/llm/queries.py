@@ -75,7 +75,29 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_ngram, op4_ht
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+# Pairs (x, y) of one component each way, by steps along links (a, b).
+_REACH = """u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS x, a AS y FROM u UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a),
+c AS (SELECT x, min(y) AS least FROM r GROUP BY x)"""
+
 SQL = {
+    "op7_minhash": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+e AS (SELECT doc_id, unnest(g) AS x FROM s),
+i AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM e p JOIN e q USING (x) WHERE p.doc_id < q.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * k >= 75 * (len(p.g) + len(q.g) - k)),
+{_REACH}
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(least, doc_id) AS component_id, coalesce(least, doc_id) = doc_id AS kept FROM s LEFT JOIN c ON x = doc_id
+""",
+    "op9_itq": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0 AND len(list_filter(embedding, lambda z: z <> 0)) > 0),
+l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id < q.vec_id WHERE CASE WHEN len(p.e) = len(q.e) THEN list_cosine_similarity(p.e, q.e) >= 0.93 ELSE false END),
+{_REACH},
+n AS (SELECT a, count(*) AS many FROM u GROUP BY a)
+SELECT vec_id, coalesce(many, 0) AS n_links, CAST(coalesce(least, vec_id) AS BIGINT) AS component_id, coalesce(least, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c ON x = vec_id LEFT JOIN n ON n.a = vec_id
+""",
     "op2_warc": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, url, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
