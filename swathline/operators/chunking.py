@@ -22,6 +22,12 @@ def edges(lo: Column, hi: Column, length: float, least_last: float) -> Column:
     return F.when(total <= length, F.array(lo, hi)).otherwise(F.concat(starts, F.array(hi)))
 
 
+def even_edges(lo: Column, hi: Column, length: float) -> Column:
+    """Edges of text clouds' chunks: every `length` from lo, then hi; a short last chunk stays one of its own."""
+    n = F.greatest(F.ceil((hi - lo) / length).cast("int"), F.lit(1))
+    return F.concat(F.transform(F.sequence(F.lit(0), n - 1), lambda i: lo + i * F.lit(float(length))), F.array(hi))
+
+
 def least_last(length: float) -> float:
     """The default for the shortest last chunk."""
     return round(2 * length / 3, 2)

@@ -107,6 +107,12 @@ def pair_scans(*scanners: DataFrame, key: str = "scan_id", order: str = "filenam
     return out.withColumn("label", 1000 + (place - 1) * 1000)
 
 
+def of_scanner(points: DataFrame, scanner, window: tuple[float, float] | None = None, source: str = "scanner_src", t: str = "t") -> DataFrame:
+    """The points of one scanner, in a time window (borders included) if one is given."""
+    rows = points.where(F.col(source) == F.lit(scanner))
+    return rows.where(F.col(t).between(*window)) if window else rows
+
+
 def scan_manifest(points: DataFrame, keys: list[str] = ("scan_id",), t: str = "t", source: str | None = None, names: dict | None = None) -> DataFrame:
     """Time range and counts per scan, by source if its values are named."""
     counts = [F.count_if(F.col(source) == v).alias(f"n_{n}") for n, v in (names or {}).items()] if source else []

@@ -73,6 +73,22 @@ def extract_windows(points: DataFrame, windows: DataFrame, key: str = "flight",
     return points.join(per, key).where(F.col(t).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
+def extract_overlaps(points: DataFrame, cells: DataFrame, g: Grid, key: str = "flight", t: str = "t") -> DataFrame:
+    """The points of each flight that lie in a cell shared with another one and in the pair's time window: a narrower cut
+    than extract_windows()."""
+    side = lambda s: cells.select("fi", "fj", F.col(f"f{s}").alias(key), "row", "col", F.col(f"tmin_{s}").alias("_lo"), F.col(f"tmax_{s}").alias("_hi"))
+    both = side("i").unionByName(side("j"))
+    window = both.groupBy("fi", "fj", key).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    both = both.select("fi", "fj", key, "row", "col").join(window, ["fi", "fj", key])
+    put = points.withColumns({"row": F.floor((F.lit(g.y0) - F.col("y")) / g.res).cast("int"), "col": F.floor((F.col("x") - F.lit(g.x0)) / g.res).cast("int")})
+    return put.join(both, [key, "row", "col"]).where(F.col(t).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi", "row", "col")
+
+
+def crop(points: DataFrame, x: tuple[float, float], y: tuple[float, float]) -> DataFrame:
+    """Points in a box, borders included."""
+    return points.where(F.col("x").between(*x) & F.col("y").between(*y))
+
+
 def in_rectangles(points: DataFrame, patches: DataFrame, size: float) -> DataFrame:
     """Points in rotated rectangles (patch_id, cx, cy, dx, dy, length, width), borders included.  Rectangles meet
     points in grid cells of the given size."""

@@ -103,3 +103,9 @@ def swap_sides(df: DataFrame, stems: list[str]) -> DataFrame:
     """Exchange the _a and _b columns of the given stems."""
     swap = {f"{s}_a": f"{s}_b" for s in stems} | {f"{s}_b": f"{s}_a" for s in stems}
     return df.select(*(F.col(swap.get(c, c)).alias(c) for c in df.columns))
+
+
+def compared(first: DataFrame, second: DataFrame, on: list[str], prefixes: tuple[str, str]) -> DataFrame:
+    """Two tables of the same marks side by side: all of the first, other columns under their table's prefix."""
+    side = lambda df, p: df.select(*on, *(F.col(c).alias(f"{p}{c}") for c in df.columns if c not in on))
+    return side(first, prefixes[0]).join(side(second, prefixes[1]), on, "left")

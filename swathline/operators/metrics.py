@@ -70,3 +70,9 @@ def circular_mean(angle: str) -> Column:
 def worst(rows: DataFrame, e: str, key: str) -> DataFrame:
     """rmse, greatest error and whose it is."""
     return rows.agg(rmse(e).alias("rmse"), F.max(e).alias("max"), F.max_by(key, F.struct(F.coalesce(e, F.lit(float("-inf"))), F.col(key))).alias("worst"))
+
+
+def described(rows: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
+    """Count, mean, sample deviation, extremes and quartiles of a value, null where there is none."""
+    at = lambda q, n: F.percentile(value, q).alias(n)
+    return rows.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), at(0.25, "q25"), at(0.5, "q50"), at(0.75, "q75"), F.max(value).alias("max"))

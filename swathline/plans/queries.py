@@ -513,6 +513,45 @@ def patch_series(spark: SparkSession, d: str) -> DataFrame:
     return patches.zone_patches(_zones(spark, d), GRID, ["fi", "fj"], 30.0, 20.0, 15.0, lines=3, offset=10.0, search=5.0)
 
 
+@query(f"""WITH {FOOT_SQL}, w AS (SELECT a.flight AS fi, b.flight AS fj, a.row AS row, a.col AS col, a.tmin AS li, a.tmax AS hi, b.tmin AS lj, b.tmax AS hj FROM fp a JOIN fp b ON a.flight < b.flight AND a.row = b.row AND a.col = b.col),
+q AS (SELECT fi, fj, fi AS flight, row, col, li AS lo, hi AS up FROM w UNION ALL SELECT fi, fj, fj, row, col, lj, hj FROM w), t AS (SELECT fi, fj, flight, min(lo) AS lo, max(up) AS up FROM q GROUP BY ALL)
+SELECT q.fi, q.fj, q.flight, count(*) AS n FROM pts JOIN q ON src = q.flight AND floor((100 - y) / 10.0) = q.row AND floor(x / 10.0) = q.col JOIN t ON q.fi = t.fi AND q.fj = t.fj AND q.flight = t.flight WHERE pts.t BETWEEN t.lo AND t.up GROUP BY ALL""")
+def overlap_extraction(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d).withColumnRenamed("src", "flight")
+    return footprint.extract_overlaps(p, footprint.overlap_cells(_footprint(spark, d)), GRID).groupBy("fi", "fj", "flight").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POINTS_SQL} SELECT point_id, x, y FROM pts WHERE x BETWEEN 20 AND 150 AND y BETWEEN 10 AND 60")
+def box_crop(spark: SparkSession, d: str) -> DataFrame:
+    return footprint.crop(points(spark, d), (20, 150), (10, 60)).select("point_id", "x", "y")
+
+
+@query(f"WITH {POINTS_SQL} SELECT point_id, t FROM pts WHERE src = 'view' AND t BETWEEN {START + 3 * DAY} AND {START + 12 * DAY}")
+def scanner_crop(spark: SparkSession, d: str) -> DataFrame:
+    return clouds.of_scanner(points(spark, d), "view", (START + 3 * DAY, START + 12 * DAY), "src").select("point_id", "t")
+
+
+@query(f"""WITH {POINTS_SQL} SELECT scan, count(x) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75, round(max(x), 6) AS max FROM pts GROUP BY scan""")
+def range_description(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.described(points(spark, d), "x", ["scan"]))
+
+
+@query(f"""WITH {POINTS_SQL}, a AS (SELECT scan, count(*) AS n, round(avg(x), 6) AS mean FROM pts WHERE src = 'view' GROUP BY scan), b AS (SELECT scan, count(*) AS n, round(avg(x), 6) AS mean FROM pts WHERE src = 'error' GROUP BY scan)
+SELECT scan, a.n AS als_n, a.mean AS als_mean, b.n AS mls_n, b.mean AS mls_mean FROM a LEFT JOIN b USING (scan)""")
+def side_by_side(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda s: rounded(points(spark, d).where(F.col("src") == s).groupBy("scan").agg(F.count("*").alias("n"), F.avg("x").alias("mean")))
+    return matching.compared(part("view"), part("error"), ["scan"], ("als_", "mls_"))
+
+
+@query(f"""WITH {POINTS_SQL}, ext AS (SELECT scan, CAST(min(x) AS DOUBLE) AS lo, max(x) * 1.7 AS hi FROM pts GROUP BY scan)
+SELECT scan, CAST(greatest(ceil((hi - lo) / 15), 1) AS INTEGER) AS n_chunks, round(lo + (greatest(ceil((hi - lo) / 15), 1) - 1) * 15, 6) AS last_lo, round(hi, 6) AS last_hi FROM ext""")
+def text_chunk_edges(spark: SparkSession, d: str) -> DataFrame:
+    ext = points(spark, d).groupBy("scan").agg(F.min("x").alias("lo"), (F.max("x") * 1.7).alias("hi"))
+    e = F.col("e")
+    rows = ext.withColumn("e", chunking.even_edges(F.col("lo"), F.col("hi"), 15.0))
+    return rounded(rows.select("scan", (F.size(e) - 1).alias("n_chunks"), F.element_at(e, -2).alias("last_lo"), F.element_at(e, -1).alias("last_hi")))
+
+
 # --- ordered rows ----------------------------------------------------------------------------------------------
 
 

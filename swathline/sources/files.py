@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql.datasource import InputPartition
+from pyspark.sql.datasource import DataSourceArrowWriter, InputPartition, WriterCommitMessage
 
 RANGE = 500_000  # records read by one task
 
@@ -75,3 +80,69 @@ def read(root: str, path: str, offset: int, length: int) -> bytes:
 
 def size_of(root: str, path: str) -> int:
     return resolve(root)[0].get_file_info(path).size
+
+
+PENDING = ".pending"
+FILE_ROWS = 2_000_000  # a task begins a new file beyond this
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The files of a task, under their pending names."""
+
+    paths: tuple[str, ...]
+
+
+class FileWriter(DataSourceArrowWriter):
+    """Writes batches of numeric columns as files under pending names, which get their own when the job commits: a
+    task that ran twice leaves nothing that a reader sees.  Null counts as 0."""
+
+    suffix = ""
+
+    def __init__(self, root: str, overwrite: bool = False):
+        self.root, self.overwrite = root, overwrite
+
+    def encoded(self, columns: dict[str, np.ndarray]) -> bytes:
+        raise NotImplementedError
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        fs, folder = resolve(self.root)
+        fs.create_dir(folder, recursive=True)
+        held, size, paths = [], 0, []
+
+        def flush() -> None:
+            table = pa.Table.from_batches(held)
+            columns = {c: pc.fill_null(table.column(c).cast(pa.float64()), 0.0).to_numpy() for c in table.column_names if is_number(table.schema.field(c).type)}
+            paths.append(f"{folder}/part-{uuid.uuid4().hex}{self.suffix}{PENDING}")
+            with fs.open_output_stream(paths[-1], compression=None) as f:
+                f.write(self.encoded(columns))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= FILE_ROWS:
+                flush()
+                held, size = [], 0
+        if held:
+            flush()
+        return Written(tuple(paths))
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, folder = resolve(self.root)
+        fs.create_dir(folder, recursive=True)
+        for old in listing(self.root, (self.suffix,)) if self.overwrite else []:
+            fs.delete_file(old)
+        for m in messages:
+            for path in m.paths if m else ():
+                fs.move(path, path.removesuffix(PENDING))
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, _ = resolve(self.root)
+        for m in messages:
+            for path in m.paths if m else ():
+                fs.delete_file(path)
+
+
+def is_number(kind: pa.DataType) -> bool:
+    return pa.types.is_integer(kind) or pa.types.is_floating(kind)

@@ -6,13 +6,12 @@ Compressed files (LAZ) need a codec that isn't here and raise.
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter
 
 from . import files
 
@@ -70,15 +69,15 @@ class LasSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options, schema)
+        return _Writer(self.options, schema, overwrite)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.size = options["path"], int(options.get("recordsPerTask", files.RANGE))
+        self.root, self.size, self.pattern = options["path"], int(options.get("recordsPerTask", files.RANGE)), options.get("pattern")
 
     def partitions(self) -> list[files.Records]:
-        return [r for f in files.listing(self.root, (".las", ".laz")) for r in files.ranges(self.root, f, header(self.root, f)["count"], self.size)]
+        return [r for f in files.listing(self.root, (".las", ".laz"), self.pattern) for r in files.ranges(self.root, f, header(self.root, f)["count"], self.size)]
 
     def read(self, part: files.Records) -> Iterator[pa.RecordBatch]:
         if not isinstance(part, files.Records):
@@ -128,25 +127,17 @@ def encode(cols: dict[str, np.ndarray], fmt: int = 1, scale: float = 0.001) -> b
     return bytes(head) + vlr + points.tobytes()
 
 
-class _Writer(DataSourceWriter):
-    def __init__(self, options: dict, schema):
-        self.root, self.fmt, self.scale = options["path"], int(options.get("pointFormat", 1)), float(options.get("scale", 0.001))
-        self.names = [f.name for f in schema.fields]
-
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        names = [c for c in ("t", "x", "y", "z", "intensity", *EXTRA) if c in self.names]
-        held = [[] for _ in names]
-        for r in rows:
-            for h, c in zip(held, names, strict=True):
-                h.append(r[c] or 0)
-        if held[0]:
-            cols = {c: np.array(h, dtype=np.float64) for c, h in zip(names, held, strict=True)}
-            cols.setdefault("intensity", np.zeros(len(held[0])))
-            fs, folder = files.resolve(self.root)
-            fs.create_dir(folder, recursive=True)
-            with fs.open_output_stream(f"{folder}/part-{uuid.uuid4().hex}.las", compression=None) as f:
-                f.write(encode(cols, self.fmt, self.scale))
-        return WriterCommitMessage()
+class _Writer(files.FileWriter):
+    suffix = ".las"
+
+    def __init__(self, options: dict, schema, overwrite: bool):
+        super().__init__(options["path"], overwrite)
+        self.fmt, self.scale = int(options.get("pointFormat", 1)), float(options.get("scale", 0.001))
+
+    def encoded(self, columns: dict[str, np.ndarray]) -> bytes:
+        cols = {c: columns[c] for c in ("t", "x", "y", "z", "intensity", *EXTRA) if c in columns}
+        cols.setdefault("intensity", np.zeros(len(cols["t"])))
+        return encode(cols, self.fmt, self.scale)
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter
 
 from . import files
 
@@ -33,7 +32,7 @@ class SbetSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options)
+        return _Writer(self.options["path"], overwrite)
 
 
 class _Reader(DataSourceReader):
@@ -58,22 +57,13 @@ class _Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array(np.arange(part.first, part.first + n)), *(pa.array(x[:, i]) for i in range(len(FIELDS)))], ["file", "rec_idx", *FIELDS])
 
 
-class _Writer(DataSourceWriter):
-    def __init__(self, options: dict):
-        self.root = options["path"]
+class _Writer(files.FileWriter):
+    suffix = ".out"
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        table = []
-        for r in rows:
-            d = r.asDict()
-            d.setdefault("wander_heading", d.get("heading"))
-            table.append([float(d.get(f) or 0.0) for f in FIELDS])
-        if table:
-            fs, folder = files.resolve(self.root)
-            fs.create_dir(folder, recursive=True)
-            with fs.open_output_stream(f"{folder}/part-{uuid.uuid4().hex}.out", compression=None) as f:
-                f.write(np.array(table, dtype="<f8").tobytes())
-        return WriterCommitMessage()
+    def encoded(self, columns: dict[str, np.ndarray]) -> bytes:
+        columns = {"wander_heading": columns["heading"]} | columns if "heading" in columns else columns
+        n = len(columns["time"])
+        return np.column_stack([columns.get(f, np.zeros(n)) for f in FIELDS]).astype("<f8").tobytes()
 
 
 def as_trajectory(sbet: DataFrame, utc: bool = False, leap: float = 18.0) -> DataFrame:

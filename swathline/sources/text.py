@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import tarfile
 from pathlib import Path
 
+import pyarrow.fs as pafs
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.trajectory import unique_times
+from . import files
+from .sbet import as_trajectory
 
 MANIFEST = "filename string, t_min_sow double, t_max_sow double, t_min double, t_max double, n_records long"
 SCANS = "scan_id long, filename string, t_start double, t_end double"
@@ -114,6 +118,26 @@ def control_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([{n: (float(v) if isinstance(v := r.get(n), int | float) and n != "id" else str(v) if v is not None else None) for n in names} for r in rows])
 
 
+def trajectory(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
+    """A trajectory by the kind of its file: SBET, ASCII or DN (a pose log)."""
+    readers = {"SBET": lambda: as_trajectory(spark.read.format("sbet").load(path), **options), "ASCII": lambda: ascii_trajectory(spark, path, **options), "DN": lambda: pose_log(spark, path, **options)}
+    if kind not in readers:
+        raise ValueError(f"no trajectory of kind {kind}; one of {', '.join(readers)}")
+    return readers[kind]()
+
+
+def error_files(spark: SparkSession, root: str) -> DataFrame:
+    """Error points of the point files <root>/<method>/rmse_*.las: method, file, t, x, y, z, e3d; no method is an error.
+    Rows aren't ordered: order by method and t where that matters."""
+    fs, folder = files.resolve(root)
+    methods = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.type == pafs.FileType.Directory)
+    methods = [m for m in methods if files.listing(m, (".las",), "rmse_*")]
+    if not methods:
+        raise FileNotFoundError(f"no rmse_*.las in the folders of {root}")
+    parts = [spark.read.format("las").option("pattern", "rmse_*").load(m).select(F.lit(m.rsplit("/", 1)[-1]).alias("method"), "file", "t", "x", "y", "z", "e3d") for m in methods]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def error_points(spark: SparkSession, root: str) -> DataFrame:
     """Error points stored as Parquet under <root>/method=<m>/: t, x, y, z, e3d, method."""
     return spark.read.parquet(root)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from swathline import sources
-from swathline.sources import files, las, sbet, sdc, text
+from swathline.sources import files, las, sbet, sdc, sinks, text
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -96,3 +96,66 @@ def test_discovery(tmp_path):
     assert files.format_of(str(tmp_path)) == "las"
     with pytest.raises(FileNotFoundError):
         files.listing(str(tmp_path / "none"), (".las",))
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2.0, 3.5, None), ("a", 1.0, 2.0, float("nan"))], "filename string, t_min double, t_max double, extra double").repartition(4)
+    sinks.write_manifest(rows, str(tmp_path / "m"), raw=True)
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "m").glob("part-*"))).split()
+    assert lines == ["filename,t_min,t_max,extra", "a,1.000000,2.000000,", "b,2.000000,3.500000,"]
+    assert [r["t_max"] for r in text.manifest(spark, str(tmp_path / "m")).orderBy("filename").collect()] == [2.0, 3.5]
+    boxes = spark.createDataFrame([(f"c{i}.las", 9.0 - i, 10.0, 0.0, 1.0, 0.0, 1.0) for i in range(5)], text.BOXES)
+    for _ in range(2):  # replaces
+        sinks.write_boxes(boxes, str(tmp_path / "b"))
+    assert [r["chunk_file"] for r in text.boxes(spark, [str(tmp_path / "b")]).collect()] == [f"c{i}.las" for i in range(4, -1, -1)]
+    sinks.write_summary(rows.drop("extra").limit(0), str(tmp_path / "e"), ["filename"])
+
+
+def test_windows_and_errors(spark, tmp_path):
+    rows = [(1, 2, "v" if i % 2 else "w", i / 3, 1.0 * i, 2.0, 3.0, 0.5) for i in range(40)]
+    points = spark.createDataFrame(rows, "fi int, fj int, flight string, t double, x double, y double, z double, e3d double")
+    sinks.write_windows(points, str(tmp_path / "w"))
+    back = spark.read.parquet(str(tmp_path / "w"))
+    assert sorted(map(tuple, back.select(points.columns).collect())) == sorted(rows)
+    sinks.write_window_text(points, str(tmp_path / "t"))
+    lines = [x for p in (tmp_path / "t").glob("fi=1/fj=2/flight=v/part-*") for x in p.read_text().split()]
+    assert len(lines) == 20 and "0.3333333333,1.0000000000,2.0000000000,3.0000000000" in lines
+    sinks.write_errors(points.withColumnRenamed("flight", "method"), str(tmp_path / "e"))
+    assert text.error_points(spark, str(tmp_path / "e")).where("method = 'v'").count() == 20
+
+
+def test_error_files(spark, tmp_path):
+    points = spark.createDataFrame([(i * 1.0, 10.0 + i, 20.0, 5.0, 0.25 * i) for i in range(30)], "t double, x double, y double, z double, e3d double")
+    for method in ("a", "b"):
+        sinks.write_error_files(points, str(tmp_path / method))
+        for i, p in enumerate(sorted((tmp_path / method).glob("*.las"))):
+            p.rename(p.with_name(f"rmse_{i}.las"))
+    (tmp_path / "a" / "other.las").write_bytes((tmp_path / "a" / "rmse_0.las").read_bytes())
+    got = text.error_files(spark, str(tmp_path))
+    assert got.groupBy("method").count().orderBy("method").collect() == [("a", 30), ("b", 30)]
+    assert [r["e3d"] for r in got.where("method = 'a'").orderBy("t").limit(3).collect()] == [0.0, 0.25, 0.5]
+    with pytest.raises(FileNotFoundError):
+        text.error_files(spark, str(tmp_path / "a"))
+
+
+def test_writers_commit(spark, tmp_path):
+    """Files appear when the job commits; what a lost attempt left is not read, and overwriting replaces."""
+    root = tmp_path / "c"
+    df = spark.createDataFrame([(i * 1.0, 1.0, 2.0, 3.0, 7) for i in range(50)], "t double, x double, y double, z double, intensity int").repartition(3)
+    df.write.format("las").mode("append").save(str(root))
+    (root / "part-lost.las.pending").write_bytes(next(root.glob("*.las")).read_bytes())
+    assert spark.read.format("las").load(str(root)).count() == 50
+    df.limit(20).write.format("las").mode("overwrite").save(str(root))
+    assert spark.read.format("las").load(str(root)).count() == 20
+    writer = las._Writer({"path": str(root)}, None, False)
+    done = writer.write(iter(df.limit(5).toArrow().to_batches()))
+    writer.abort([done, None])
+    assert spark.read.format("las").load(str(root)).count() == 20
+
+
+def test_trajectory_kinds(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("1 0.5 0.6 7\n2 0.5 0.6 8\n")
+    got = text.trajectory(spark, str(tmp_path / "t.txt"), "ASCII", columns={"t": 0, "lat": 1, "lon": 2, "alt": 3})
+    assert [r["alt"] for r in got.orderBy("t").collect()] == [7.0, 8.0]
+    with pytest.raises(ValueError, match="XYZ"):
+        text.trajectory(spark, "x", "XYZ")
