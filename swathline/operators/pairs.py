@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,28 +70,54 @@ def flight_pairs(flights: DataFrame, mode: str = "all", key: str = "flight") ->
     return flights.select(F.col(key).alias("fi")).join(F.broadcast(flights.select(F.col(key).alias("fj"))), F.col("fi") < F.col("fj"))
 
 
+PAIRS = 4_000_000  # distances that the matcher holds at once
 MATCHES = "time_a double, x_a double, y_a double, z_a double, time_b double, x_b double, y_b double, z_b double, d_xyz double"
 
 
+def _nearest(p: np.ndarray, q: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of q for each of p, and its distance: -1 and infinity where none lies within reach.  Points meet in cells
+    as wide as the reach; without a reach all are compared.  PAIRS distances are held at once, or one point's."""
+    at, best = np.full(len(p), -1), np.full(len(p), np.inf)
+    if not np.isfinite(reach) or reach <= 0:
+        step = max(1, PAIRS // len(q))
+        for i in range(0, len(p), step):
+            d = ((p[i : i + step, None, :] - q[None]) ** 2).sum(-1)
+            at[i : i + step], best[i : i + step] = d.argmin(1), np.sqrt(d.min(1))
+        return at, best
+    low = np.minimum(p.min(0), q.min(0))
+    cells = lambda x: np.floor((x - low) / reach).astype(np.int64) + 1
+    cp, cq = cells(p), cells(q)
+    span = np.maximum(cp.max(0), cq.max(0)) + 2
+    key = lambda c: (c[:, 0] * span[1] + c[:, 1]) * span[2] + c[:, 2]
+    order = np.argsort(key(cq), kind="stable")
+    kq = key(cq)[order]
+    for shift in np.ndindex(3, 3, 3):
+        k = key(cp + np.array(shift) - 1)
+        lo, n = np.searchsorted(kq, k), np.searchsorted(kq, k, side="right") - np.searchsorted(kq, k)
+        cuts = np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS), side="right")
+        for a, b in zip([0, *cuts], [*cuts, len(p)], strict=True):
+            rows = np.repeat(np.arange(a, b), n[a:b])
+            if not len(rows):
+                continue
+            first = np.cumsum(n[a:b]) - n[a:b]
+            j = order[np.repeat(lo[a:b] - first, n[a:b]) + np.arange(len(rows))]
+            d = np.sqrt(((p[rows] - q[j]) ** 2).sum(-1))
+            rank = np.lexsort((j, d, rows))
+            rank = rank[np.unique(rows[rank], return_index=True)[1]]
+            r, dr, jr = rows[rank], d[rank], j[rank]
+            better = (dr <= reach) & ((dr < best[r]) | (dr == best[r]) & (jr < at[r]))
+            at[r[better]], best[r[better]] = jr[better], dr[better]
+    return at, best
+
+
 def nearest_matcher(a: pd.DataFrame, b: pd.DataFrame, cfg: dict) -> pd.DataFrame:
     """A stand-in matcher: points that are each other's nearest, within uncertainty_r or its range."""
-    import numpy as np
-
     low, high = cfg.get("uncertainty_r_min", 0.0), cfg.get("uncertainty_r_max", cfg.get("uncertainty_r", np.inf))
-
-    def nearest(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, best = np.zeros(len(p), dtype=int), np.zeros(len(p))
-        for i in range(0, len(p), 512):  # by blocks, so memory stays bounded
-            d = ((p[i : i + 512, None, :] - q[None]) ** 2).sum(-1)
-            at[i : i + 512] = d.argmin(1)
-            best[i : i + 512] = np.sqrt(d.min(1))
-        return at, best
-
     if a.empty or b.empty:
         return pd.DataFrame({f.split()[0]: pd.Series(dtype=float) for f in MATCHES.split(", ")})
     p, q = a[["x", "y", "z"]].to_numpy(float), b[["x", "y", "z"]].to_numpy(float)
-    (ab, d), (ba, _) = nearest(p, q), nearest(q, p)
-    i = np.flatnonzero((ba[ab] == np.arange(len(p))) & (d >= low) & (d <= high))
+    (ab, d), (ba, _) = _nearest(p, q, high), _nearest(q, p, high)
+    i = np.flatnonzero((ab >= 0) & (ba[ab] == np.arange(len(p))) & (d >= low) & (d <= high))
     cols = {f"{n}_{s}": (a if s == "a" else b)[c].to_numpy(float)[i if s == "a" else ab[i]] for s in "ab" for n, c in (("time", "t"), ("x", "x"), ("y", "y"), ("z", "z"))}
     return pd.DataFrame(cols | {"d_xyz": d[i]})[[f.split()[0] for f in MATCHES.split(", ")]]
 

@@ -562,13 +562,13 @@ def decimate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {POINTS_SQL} SELECT scan, point_id, CASE WHEN count(*) OVER (PARTITION BY scan) >= 50 THEN round(sum(x) OVER (PARTITION BY scan ORDER BY t, point_id ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING) / 50, 6) ELSE round(x, 6) END AS smooth FROM pts""")
 def smooth(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ordered.moving_average(points(spark, d), ["scan"], ["t", "point_id"], "x", 50, "smooth").select("scan", "point_id", "smooth"))
+    return rounded(ordered.moving_average(points(spark, d), ["scan"], ["t", "point_id"], "x", 50, "smooth", 5 * DAY).select("scan", "point_id", "smooth"))
 
 
 @query(f"""WITH {POINTS_SQL}, g AS (SELECT scan, t, src, point_id, CASE WHEN src = lag(src) OVER w THEN 0 ELSE 1 END AS new FROM pts WINDOW w AS (PARTITION BY scan ORDER BY point_id))
 SELECT scan, point_id, CAST(sum(new) OVER (PARTITION BY scan ORDER BY point_id) AS BIGINT) AS run FROM g""")
 def consecutive_groups(spark: SparkSession, d: str) -> DataFrame:
-    return ordered.islands(points(spark, d), "point_id", "src", "run", ["scan"]).select("scan", "point_id", "run")
+    return ordered.islands(points(spark, d), "point_id", "src", "run", ["scan"], 1000).select("scan", "point_id", "run")
 
 
 @query(f"""WITH {POINTS_SQL}, m AS (SELECT min(x) AS lo, max(x) AS hi FROM pts) SELECT src, CAST(least(floor((x - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS bin, count(*) AS n FROM pts, m GROUP BY 1, 2""")

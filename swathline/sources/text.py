@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import shutil
 import tarfile
+import uuid
 from pathlib import Path
 
 import pyarrow.fs as pafs
@@ -64,12 +66,20 @@ def ascii_trajectory(spark: SparkSession, path: str, columns: dict[str, int], de
 
 
 def pose_log(spark: SparkSession, path: str, origin: tuple[float, float, float] = (0, 0, 0), every: int = 1, utc: bool = False, leap: float = 18.0, folder: str | None = None) -> DataFrame:
-    """A pose log (column 0 time, 2-4 place, 5-8 quaternion), from a file or out of a .tar.gz, thinned before it is sorted."""
+    """A pose log (column 0 time, 2-4 place, 5-8 quaternion), from a file or out of a .tar.gz, thinned before it is sorted.  A log
+    out of an archive is put into the given folder, else below spark.checkpoint.dir: one that executors see too."""
     if path.endswith((".tar.gz", ".tgz")):
-        to = Path(folder or f"{path}.d")
+        to = folder or spark.conf.get("spark.checkpoint.dir", None)
+        if not to:
+            raise ValueError("name a folder that driver and executors share, or set spark.checkpoint.dir")
+        fs, at = files.resolve(to)
+        at = f"{at.rstrip('/')}/pose-{uuid.uuid4().hex}"
+        fs.create_dir(at, recursive=True)
         with tarfile.open(path) as t:
-            t.extractall(to, filter="data")
-        path = str(next(p for p in sorted(to.rglob("*")) if p.name.endswith("PoseSE3(W).log")))
+            inner = min((m for m in t if m.name.endswith("PoseSE3(W).log")), key=lambda m: m.name)
+            with fs.open_output_stream(f"{at}/pose.log", compression=None) as out:
+                shutil.copyfileobj(t.extractfile(inner), out)
+        path = f"{to.rstrip('/')}/{at.rsplit('/', 1)[-1]}/pose.log"
     names = {"t": 0, "ex": 2, "ey": 3, "ez": 4, "qw": 5, "qx": 6, "qy": 7, "qz": 8}
     rows = spark.read.text(path).coalesce(1).withColumn("point_idx", F.monotonically_increasing_id())  # one log is one task, in order
     got = rows.select("point_idx", F.split("value", r",\s*").alias("f")).where(F.size("f") > 8)

@@ -213,3 +213,35 @@ def test_intensity(spark):
     p = spark.createDataFrame([("f", i, float(i)) for i in range(101)] + [("g", 0, 5.0)], "file string, i int, intensity double")
     got = {(r["file"], r["i"]): r["intensity_u16"] for r in clouds.normalize_intensity(p).collect()}
     assert got["f", 0] == got["f", 5] == 0 and got["f", 95] == got["f", 100] == 65535 and got["f", 50] == 32767 and got["g", 0] == 0
+
+
+def test_blocks_change_nothing(spark):
+    """Averages, runs and places are the same however a sequence is cut."""
+    r = random.Random(4)
+    rows = [(k, float(i * 3 + r.randint(0, 2)), r.choice([None, "a", "b"]), r.random()) for k in (1, 2, None) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, t double, s string, v double").repartition(3)
+    one = lambda f: sorted(map(repr, f.collect()))
+    for width in (1, 4, 7):
+        want = one(ordered.moving_average(df, ["k"], ["t"], "v", width, "m").selectExpr("k", "t", "round(m, 9) m"))
+        assert one(ordered.moving_average(df, ["k"], ["t"], "v", width, "m", 10.0, 16).selectExpr("k", "t", "round(m, 9) m")) == want
+    by = {}
+    for k, t, s, _ in sorted(rows, key=lambda x: (str(x[0]), x[1])):
+        held = by.setdefault(k, [])
+        held.append((k, t, held[-1][2] + (held[-1][3] != s) if held else 1, s))
+    got = sorted((tuple(x) for x in ordered.islands(df, "t", "s", "run", ["k"], 25.0).select("k", "t", "run").collect()), key=str)
+    assert got == sorted((x[:3] for held in by.values() for x in held), key=str)
+    assert one(ordered.islands(df, "t", "s", "run", ["k"])) == one(ordered.islands(df, "t", "s", "run", ["k"], 25.0))
+
+
+def test_matcher_cells(monkeypatch):
+    r = np.random.default_rng(2)
+    monkeypatch.setattr(pairs, "PAIRS", 50)
+    for reach in (0.3, 1.0, 50.0):
+        p, q = r.uniform(-3, 3, (60, 3)), r.uniform(-3, 3, (45, 3))
+        d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(-1))
+        at, best = pairs._nearest(p, q, reach)
+        near = d.min(1) <= reach
+        assert (at[near] == d.argmin(1)[near]).all() and (at[~near] == -1).all() and np.allclose(best[near], d.min(1)[near])
+        frame = lambda x: pd.DataFrame({"t": np.arange(len(x)) * 1.0, **dict(zip("xyz", x.T, strict=True))})
+        every, some = pairs.nearest_matcher(frame(p), frame(q), {}), pairs.nearest_matcher(frame(p), frame(q), {"uncertainty_r": reach})
+        assert len(some) == (every["d_xyz"] <= reach).sum()
