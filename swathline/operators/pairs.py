@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .ordered import numbered
 
 
 def neighbours(chunks: DataFrame, k: int, scan: str = "scan", chunk: str = "chunk") -> DataFrame:
@@ -28,13 +29,13 @@ def across_scans(chunks: DataFrame, scan: str = "scan", chunk: str = "chunk") ->
     return rows.where("scan_a is not null")
 
 
-def crossings(boxes: DataFrame, min_separation: int, margin: float, size: float, key: str = "chunk") -> DataFrame:
+def crossings(boxes: DataFrame, min_separation: int, margin: float, size: float, key: str = "chunk", block: float | None = None) -> DataFrame:
     """Pairs of boxes that come within the margin in both axes and are further apart than `min_separation` in order of
     t_start: (a, b, seq_a, seq_b).
 
-    Boxes meet in grid cells of the given size; the cell of the shared area's lower corner decides, so each pair
-    comes once."""
-    seq = boxes.withColumn("seq", F.row_number().over(Window.orderBy("t_start", key)) - 1)  # one row per chunk
+    Boxes meet in grid cells of the given size.  They are numbered by blocks of t_start, or all at once without a block
+    size."""
+    seq = numbered(boxes, [], ["t_start", key], block, "seq", "_all").withColumn("seq", F.col("seq").cast("int"))
     cells = lambda lo, hi: F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long"))
     half = margin / 2
     seq = seq.select(F.col(key).alias("k"), "seq", *((F.col(f"{c}_min") - half).alias(f"{c}0") for c in "xy"), *((F.col(f"{c}_max") + half).alias(f"{c}1") for c in "xy"), *(f"{c}_{e}" for c in "xy" for e in ("min", "max")))

@@ -1,12 +1,12 @@
 """The survey pipeline: georeference, merge, chunk, match.
 
-Each step takes and returns DataFrames.  A step's result goes through a store, which writes it to a folder (or, by
-default, keeps it in the session): later steps then read columns, and don't carry the expressions that made them.
+Each step takes and returns DataFrames.  A step's result goes through a store, which writes it to a folder: later steps then read columns, and don't carry the expressions that made them.
 Times are seconds.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -23,8 +23,10 @@ WIDTH = 1.0  # seconds of the narrowest time bucket
 
 
 def keep(name: str, df: DataFrame) -> DataFrame:
-    """The default store."""
-    return df.persist()
+    """The default store: Parquet below spark.checkpoint.dir, which outlives executors; a session without that setting
+    keeps the rows itself."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    return folder(f"{base}/survey-{uuid.uuid4().hex}")(name, df) if base else df.persist()
 
 
 def folder(path: str) -> Callable[[str, DataFrame], DataFrame]:

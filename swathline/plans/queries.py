@@ -330,7 +330,7 @@ def cross_scan_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {BOXES_SQL}, s AS (SELECT chunk, x_min, x_max, y_min, y_max, row_number() OVER (ORDER BY t_start, chunk) - 1 AS seq FROM bx)
 SELECT a.chunk AS a, b.chunk AS b, CAST(a.seq AS INTEGER) AS seq_a, CAST(b.seq AS INTEGER) AS seq_b FROM s a JOIN s b ON a.seq + 10 < b.seq AND a.x_min - 0.5 <= b.x_max AND b.x_min - 0.5 <= a.x_max AND a.y_min - 0.5 <= b.y_max AND b.y_min - 0.5 <= a.y_max""")
 def crossing_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.crossings(_boxes(spark, d), 10, 0.5, 200.0)
+    return pairs.crossings(_boxes(spark, d), 10, 0.5, 200.0, block=float(DAY))
 
 
 @query(f"""WITH {POINTS_SQL}, f AS (SELECT DISTINCT scan AS a, y AS b FROM pts WHERE y <> scan)
