@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Adaptive execution picks join sides, splits skewed partitions and merges small ones at run time; the rest is about
@@ -19,3 +22,14 @@ def session(name: str = "swathline", **conf: str) -> SparkSession:
     for k, v in (SETTINGS | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir, which driver and executors share.  A local session without that
+    setting gets a temporary folder, any other an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="swathline-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

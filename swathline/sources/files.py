@@ -99,8 +99,8 @@ class FileWriter(DataSourceArrowWriter):
 
     suffix = ""
 
-    def __init__(self, root: str, overwrite: bool = False):
-        self.root, self.overwrite = root, overwrite
+    def __init__(self, root: str, overwrite: bool = False, prefix: str = "part-"):
+        self.root, self.overwrite, self.prefix = root, overwrite, prefix
 
     def encoded(self, columns: dict[str, np.ndarray]) -> bytes:
         raise NotImplementedError
@@ -113,7 +113,7 @@ class FileWriter(DataSourceArrowWriter):
         def flush() -> None:
             table = pa.Table.from_batches(held)
             columns = {c: pc.fill_null(table.column(c).cast(pa.float64()), 0.0).to_numpy() for c in table.column_names if is_number(table.schema.field(c).type)}
-            paths.append(f"{folder}/part-{uuid.uuid4().hex}{self.suffix}{PENDING}")
+            paths.append(f"{folder}/{self.prefix}{uuid.uuid4().hex}{self.suffix}{PENDING}")
             with fs.open_output_stream(paths[-1], compression=None) as f:
                 f.write(self.encoded(columns))
 

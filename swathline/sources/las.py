@@ -56,7 +56,7 @@ def header(root: str, path: str) -> dict:
 class LasSource(DataSource):
     """format("las").load(path): file, point_idx, t, x, y, z, intensity and the known extra dimensions (null where a file has
     none).  Written frames have t, x, y, z, intensity and any of these; each task writes one file of point format 1 (or 6 with
-    option pointFormat), version 1.4."""
+    option pointFormat), version 1.4; option prefix begins the files' names."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,7 +131,7 @@ class _Writer(files.FileWriter):
     suffix = ".las"
 
     def __init__(self, options: dict, schema, overwrite: bool):
-        super().__init__(options["path"], overwrite)
+        super().__init__(options["path"], overwrite, options.get("prefix", "part-"))
         self.fmt, self.scale = int(options.get("pointFormat", 1)), float(options.get("scale", 0.001))
 
     def encoded(self, columns: dict[str, np.ndarray]) -> bytes:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter
 
 from ..functions.scalars import finite, week_seconds_to_time
 from . import files
@@ -17,6 +17,7 @@ from . import files
 LAYOUT = {"t": ("<f8", 0), "sx": ("<f4", 16), "sy": ("<f4", 20), "sz": ("<f4", 24), "intensity_raw": ("<u2", 28)}
 SIZES, PROBED, ENOUGH, FALLBACK = range(30, 60), 20, 18, 40
 TIMES = (40_000.0, 700_000.0)
+WRITTEN, HEADER = 45, 20  # sizes of a record and of the header in written files
 
 
 def record_size(probe: bytes, payload: int) -> int:
@@ -35,7 +36,7 @@ def record_size(probe: bytes, payload: int) -> int:
 
 class SdcSource(DataSource):
     """format("sdc").load(path): file, rec_idx, t, sx, sy, sz, intensity_raw; records with a value that isn't finite are left
-    out.  Option recordSize fixes the size."""
+    out.  Option recordSize fixes the size.  Written frames have t, sx, sy, sz and intensity_raw."""
 
     @classmethod
     def name(cls) -> str:
@@ -47,6 +48,9 @@ class SdcSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"], overwrite)
+
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
@@ -74,6 +78,17 @@ class _Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array([part.path] * len(at)), pa.array(at + part.first), *(pa.array(cols[n][at]) for n in LAYOUT)], ["file", "rec_idx", *LAYOUT])
 
 
+class _Writer(files.FileWriter):
+    suffix = ".sdc"
+
+    def encoded(self, columns: dict[str, np.ndarray]) -> bytes:
+        kind = np.dtype({"names": list(LAYOUT), "formats": [k for k, _ in LAYOUT.values()], "offsets": [o for _, o in LAYOUT.values()], "itemsize": WRITTEN})
+        rows = np.zeros(len(columns["t"]), dtype=kind)
+        for n in LAYOUT:
+            rows[n] = columns[n]
+        return HEADER.to_bytes(4, "little") + bytes(HEADER - 4) + rows.tobytes()
+
+
 def manifest(vectors: DataFrame, day_shift: float = 0, leap: float = 0) -> DataFrame:
     """(filename, t_min_sow, t_max_sow, t_min, t_max, n_records) from plausible times."""
     ok = vectors.where(finite(F.col("t")) & (F.col("t") > 0) & (F.col("t") < 1e8))

@@ -49,7 +49,7 @@ def write_windows(points: DataFrame, path: str, keys: tuple[str, ...] = ("fi", "
 
 def write_window_text(points: DataFrame, path: str, keys: tuple[str, ...] = ("fi", "fj", "flight"), vector: tuple[str, ...] = (), digits: int = 10) -> None:
     """Extracted points as lines t, x, y, z and the vector's columns, a folder per pair and flight."""
-    line = F.concat_ws(",", *(F.format_string(f"%.{digits}f", F.col(c)) for c in ("t", "x", "y", "z", *vector)))
+    line = F.concat_ws(",", *(F.format_string(f"%.{digits}f", F.col(c).cast("double")) for c in ("t", "x", "y", "z", *vector)))
     points.select(*keys, line.alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
 
 
@@ -59,8 +59,9 @@ def write_errors(errors: DataFrame, path: str, method: str = "method") -> None:
 
 
 def write_error_files(errors: DataFrame, path: str) -> None:
-    """Error points of one method as point files whose extra column holds the error."""
-    errors.select("t", "x", "y", "z", F.lit(0).alias("intensity"), F.col("e3d").cast("float").alias("e3d")).write.format("las").option("pointFormat", 6).mode("append").save(path)
+    """Error points of one method as point files, named as error_files() finds them, whose extra column holds the error."""
+    rows = errors.select("t", "x", "y", "z", F.lit(0).alias("intensity"), F.col("e3d").cast("float").alias("e3d"))
+    rows.write.format("las").option("pointFormat", 6).option("prefix", "rmse_").mode("overwrite").save(path)
 
 
 def write_lines(points: DataFrame, path: str, keys: tuple[str, ...] = (), **columns) -> None:

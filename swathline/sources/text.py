@@ -6,7 +6,6 @@ import functools
 import shutil
 import tarfile
 import uuid
-from pathlib import Path
 
 import pyarrow.fs as pafs
 import yaml
@@ -123,7 +122,9 @@ def boxes(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def control_points(spark: SparkSession, path: str) -> DataFrame:
     """The lcps of a YAML file; values other than id and gps_time stay as they are, by name."""
-    rows = yaml.safe_load(Path(path).read_text())["lcps"]
+    fs, at = files.resolve(path)
+    with fs.open_input_stream(at) as f:
+        rows = yaml.safe_load(f.read())["lcps"]
     names = list(dict.fromkeys(k for r in rows for k in r))
     return spark.createDataFrame([{n: (float(v) if isinstance(v := r.get(n), int | float) and n != "id" else str(v) if v is not None else None) for n in names} for r in rows])
 
@@ -155,8 +156,9 @@ def error_points(spark: SparkSession, root: str) -> DataFrame:
 
 def formatted(t: str = "t", xyz: tuple[str, ...] = ("x", "y", "z"), vector: tuple[str, ...] = (), intensity: str | None = None) -> Column:
     """A point as a line of text: time with nine digits, the rest with three, intensity with none."""
-    parts = [F.format_string("%.9f", F.col(t)), *(F.format_string("%.3f", F.col(c)) for c in (*xyz, *vector))]
-    return F.concat_ws(",", *parts, *([F.format_string("%.0f", F.col(intensity))] if intensity else []))
+    number = lambda c: F.col(c).cast("double")
+    parts = [F.format_string("%.9f", number(t)), *(F.format_string("%.3f", number(c)) for c in (*xyz, *vector))]
+    return F.concat_ws(",", *parts, *([F.format_string("%.0f", number(intensity))] if intensity else []))
 
 
 def write_cloud(points: DataFrame, path: str, vector: tuple[str, ...] = (), intensity: str | None = None) -> None:

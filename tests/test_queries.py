@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from swathline.plans.queries import QUERIES, SQL
+from swathline.plans.file_queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
