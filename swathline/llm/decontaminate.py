@@ -13,7 +13,8 @@ found is written too, and the texts that were hit are read again to compare word
 broadcasts a side whose written size is below its limit, else sorts and merges.  The text's own entry has a hash of its
 own as key, so such entries meet in no one place.
 
-Nulls and empty texts have no words.  Rows equal in id and text give one result row; null ids are kept.
+Nulls and empty texts have no words.  Every row gives one result row: rows equal in id and text are compared once and
+counted.  Null ids are kept.
 Items equal in id and text count once; null item ids are left out of the list and not counted.
 """
 
@@ -74,7 +75,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, k: int = K) -> DataFram
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
-    """One row per text: n_words, n_hit, n_items, items (sorted ids as strings), contaminated."""
+    """One row per row of docs: n_words, n_hit, n_items, items (sorted ids as strings), contaminated."""
     wins = materialize(item_windows(benchmark, window, k), "windows")
     known = materialize(wins.select("len", "fp").distinct(), "window-hashes")
     short = sorted(r["len"] for r in known.where(F.col("len") < window).select("len").distinct().collect())  # fewer than `window` rows
@@ -88,7 +89,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     places = [F.transform(indices(F.size(h) - (m - 1)), lambda i: probe(m, _gram(h, i, m), i)) for m in short]  # noqa: B023
     probes = fingerprints(rows, window, k).select("_id", "_key", F.size("_w").cast("long").alias("n_words"), F.explode(F.concat(own, long, *places)).alias("x")).select("_id", "_key", "n_words", "x.*")
     met = probes.join(known.withColumn("_known", F.lit(True)), ["len", "fp"], "left").where("_known or len = 0")
-    found = materialize(met.groupBy("_id", "_key", "n_words").agg(F.collect_set(F.when(F.col("len") > 0, F.struct("len", "fp", "p"))).alias("at")), "hits")
+    found = materialize(met.groupBy("_id", "_key", "n_words").agg(F.collect_set(F.when(F.col("len") > 0, F.struct("len", "fp", "p"))).alias("at"), F.count_if(F.col("len") == 0).alias("copies")), "hits")
 
     # the words around the hits, to compare
     hit = found.where(F.size("at") > 0).select(F.col("_id").alias("i"), F.col("_key").alias("y"), "at")
@@ -99,11 +100,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     around = again.select("_id", "_key", F.explode(near).alias("x")).select("_id", "_key", "x.*")
     start = F.col("p") - F.col("offset")
     same = (start >= F.col("base")) & (F.slice("near", F.greatest(start - F.col("base"), F.lit(0)) + 1, F.col("len")) == F.col("win"))
-    hits = around.join(wins, ["len", "fp"]).where(same).select("_id", "_key", F.lit(None).cast("long").alias("n_words"), F.struct(start.alias("s"), F.col("len").alias("n")).alias("_at"), "items")
-    every = found.select("_id", "_key", "n_words", F.lit(None).cast(hits.schema["_at"].dataType).alias("_at"), F.lit(None).cast("array<string>").alias("items"))
+    hits = around.join(wins, ["len", "fp"]).where(same).select("_id", "_key", F.lit(None).cast("long").alias("n_words"), F.struct(start.alias("s"), F.col("len").alias("n")).alias("_at"), "items", F.lit(None).cast("long").alias("copies"))
+    every = found.select("_id", "_key", "n_words", F.lit(None).cast(hits.schema["_at"].dataType).alias("_at"), F.lit(None).cast("array<string>").alias("items"), "copies")
     per = every.unionByName(hits).groupBy("_id", "_key").agg(
-        F.max("n_words").alias("n_words"), F.collect_set("_at").alias("_at"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
-    )
+        F.max("n_words").alias("n_words"), F.collect_set("_at").alias("_at"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.max("copies").cast("int").alias("copies")
+    ).withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("copies"))))
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1))))
     per = per.select(F.col("_id").alias(id_col), "n_words", F.size(covered).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sort_array("items").alias("items"))
     return per.withColumn("contaminated", F.col("n_hit") > 0)

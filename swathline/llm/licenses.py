@@ -7,8 +7,8 @@ merge into one alignment, which is verified by the share of template k-grams tha
 Templates are a fixed list of a few kilobytes, so their hashes are a constant set and their table is
 broadcast.  The set is tested inside the text's row, before rows are exploded; only hits are shuffled.
 
-Nulls and empty texts have no words and no hits.  Rows equal in id and text give one result row.  Rows
-of one id with different texts give one row each.  A null id is a value like any other.
+Nulls and empty texts have no words and no hits.  Every row gives one result row: rows equal in id and text are scanned
+as one and counted (copies).  A null id is a value like any other.
 """
 
 from __future__ import annotations
@@ -63,8 +63,8 @@ def templates() -> list[tuple[int, str, bool, list[str]]]:
 
 def license_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text, template and diagonal: (id, text_key, n_words, template, label, base, length,
-    diagonal, grams, first, last), grams being the template positions hit.  A text without hits has one
-    row with a null template."""
+    diagonal, grams, first, last, copies), grams being the template positions hit.  Every text has one row with a null
+    template besides, whose copies are the rows that hold it; elsewhere they are 0."""
     spark = docs.sparkSession
     grams = [
         (t, label, base, len(w), p, *w[p : p + K])
@@ -80,11 +80,11 @@ def license_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hit = lambda at: F.xxhash64(w[at], w[at + 1], w[at + 2])
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), words(F.col(text_col)).alias("_w"))
     rows = rows.select("_id", "_key", "_w", F.filter(indices(F.size("_w") - (K - 1)), lambda p: hit(p).isin(known)).alias("_hits"))
-    rows = rows.select("_id", "_key", "_w", F.explode_outer("_hits").alias("_p"))
+    rows = rows.select("_id", "_key", "_w", F.explode(F.concat(F.array(F.lit(None).cast("int")), "_hits")).alias("_p"))
     rows = rows.select("_id", "_key", F.size("_w").cast("long").alias("n_words"), "_p", hit(i).alias("gram"), w[i].alias("g0"), w[i + 1].alias("g1"), w[i + 2].alias("g2"))
     votes = rows.join(F.broadcast(table), ["gram", "g0", "g1", "g2"], "left").withColumn("diagonal", F.col("_p") - F.col("at"))
     return votes.groupBy("_id", "_key", "n_words", "template", "label", "base", "length", "diagonal").agg(
-        F.collect_set("at").alias("grams"), F.min("_p").alias("first"), F.max("_p").alias("last")
+        F.collect_set("at").alias("grams"), F.min("_p").alias("first"), F.max("_p").alias("last"), F.count_if(F.col("_p").isNull()).alias("copies")
     )
 
 
@@ -102,6 +102,7 @@ def license_spans(votes: DataFrame, drift: int = 6, cover: float = 0.7, short: i
         F.min("first").alias("start"),
         (F.max("last") + K).alias("end"),
         F.size(F.array_distinct(F.flatten(F.collect_list("grams")))).alias("_hit"),
+        F.max("copies").alias("copies"),
     )
     coverage = F.when(F.col("template").isNotNull(), F.col("_hit") / (F.col("length") - K + 1))
     fits = F.col("end") - F.col("start") <= 1.5 * F.col("length") + K
@@ -110,11 +111,11 @@ def license_spans(votes: DataFrame, drift: int = 6, cover: float = 0.7, short: i
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text: n_words, places of base phrases, labels and the best verified coverage."""
+    """One row per row of docs: n_words, places of base phrases, labels and the best verified coverage."""
     spans = license_spans(license_votes(docs, id_col, text_col))
     ok, base = F.col("verified"), F.col("verified") & F.col("base")
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    return spans.groupBy("_id", "_key").agg(
+    rows = spans.groupBy("_id", "_key").agg(
         F.max("n_words").alias("n_words"),
         F.sum(F.when(base, 1).otherwise(0)).cast("long").alias("n_base"),
         F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
@@ -122,4 +123,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         joined(F.when(base, F.col("label"))).alias("base_labels"),
         joined(F.when(ok, F.col("label"))).alias("labels"),
         F.coalesce(F.max(F.when(ok, F.col("coverage"))), F.lit(0.0)).alias("score"),
-    ).withColumnRenamed("_id", id_col).drop("_key")
+        F.max("copies").cast("int").alias("_copies"),
+    )
+    rows = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("_copies"))))
+    return rows.withColumnRenamed("_id", id_col).drop("_key", "_copies", "_copy")
