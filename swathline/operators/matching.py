@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .partners import nearest, partners, timed
 from .range_join import range_join
 
 
@@ -60,9 +61,9 @@ def reproject(queries: DataFrame, cloud: DataFrame, tolerance: float, distance:
 
 def nearest_in_time(marks: DataFrame, cloud: DataFrame, tolerance: float, width: float, mark_id: str, at: str, order: list[str], t: str = "t") -> DataFrame:
     """For each mark the row of the cloud nearest in time, nearer than the tolerance; nulls where there is none."""
-    spans = marks.withColumns({"_lo": F.col(at) - tolerance, "_hi": F.col(at) + tolerance})
-    met = range_join(cloud, spans.select(mark_id, at, "_lo", "_hi"), t, "_lo", "_hi", width, closed="none").drop("_lo", "_hi")
-    met = met.withColumn("dt", F.abs(F.col(t) - F.col(at)))
+    spans = marks.select(mark_id, at).withColumns({"_lo": F.col(at) - tolerance, "_hi": F.col(at) + tolerance})
+    met = partners(*timed(spans, cloud, at, t, tolerance, width), nearest([(at, t)], t, tolerance), order)
+    met = met.drop("_lo", "_hi").withColumn("dt", F.abs(F.col(t) - F.col(at)))
     rest = [c for c in met.columns if c not in (mark_id, at)]
     best = met.groupBy(mark_id).agg(F.min_by(F.struct(*rest), F.struct("dt", *order)).alias("_b"))
     return marks.join(best, mark_id, "left").select(*marks.columns, *(F.col(f"_b.{c}").alias(c) for c in rest))
