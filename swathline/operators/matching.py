@@ -51,7 +51,8 @@ def reproject(queries: DataFrame, cloud: DataFrame, tolerance: float, distance:
     """Each query's nearest point in space among those within a time tolerance (exclusive), if nearer than `distance`;
     the least `order` on ties.  Query coordinates are q_<axis>."""
     spans = queries.withColumns({"_lo": F.col(at) - tolerance, "_hi": F.col(at) + tolerance})
-    met = range_join(cloud, spans, t, "_lo", "_hi", width, closed="none").drop("_lo", "_hi")
+    met = partners(*timed(spans, cloud, at, t, tolerance, width), nearest([(f"q_{a}", a) for a in axes], t, tolerance, distance), [order])
+    met = met.drop("_lo", "_hi")
     d = F.sqrt(sum(F.pow(F.col(a) - F.col(f"q_{a}"), 2) for a in axes))
     met = met.withColumn("dist", d).where(F.col("dist") < distance)
     rest = [c for c in met.columns if c != query_id]

@@ -62,3 +62,27 @@ def test_large_buckets_are_cut(spark):
     whole = partners(*sides, nearest([("q", "t")], "t", 2.5), ["p"]).collect()
     assert len(rows) > len(whole) == len(best)
     assert best == {r["id"]: (abs(r["t"] - r["q"]), r["p"]) for r in whole}
+
+
+def near(marks, cloud, tolerance, limit):
+    """Each mark's least (distance, point) up to a limit within the tolerance, by brute force."""
+    out = {}
+    for i, q, x, y in marks:
+        if None not in (q, y):
+            met = ((float(np.sqrt((px - x) ** 2 + (py - y) ** 2)), p) for p, t, px, py in cloud if None not in (t, py) and q - tolerance < t < q + tolerance)
+            out[i] = min((m for m in met if m[0] <= limit), default=(None, None))
+    return {i: out.get(i, (None, None)) for i, *_ in marks}
+
+
+def test_reproject_brute_force(spark):
+    marks, cloud, m, c = scattered(spark)
+    q = m.select("id", F.col("q").alias("q_t"), F.col("x").alias("q_x"), F.col("y").alias("q_y"))
+    for tolerance, limit in ((2.5, 2.0), (30.0, 1e9), (0.4, 3.0)):
+        got = {r["id"]: (r["dist"], r["p"]) for r in matching.reproject(q, c, tolerance, limit, 1.0, "id", ["x", "y"], "p").collect()}
+        assert got == {i: b for i, b in near(marks, cloud, tolerance, np.nextafter(limit, 0)).items() if b[1] is not None}
+
+
+def test_reproject_lists_no_pairs(spark):
+    m, c = crowd(spark)
+    q = m.select("id", F.col("q").alias("q_t"), F.col("x").alias("q_x"), F.col("y").alias("q_y"))
+    assert most_rows(matching.reproject(q, c, 5000, 40.0, 5000, "id", ["x", "y"], "p")) < 20_000
