@@ -74,8 +74,8 @@ def nearest_reference(marks: DataFrame, cloud: DataFrame, tolerance: float, fart
     """For each mark the point nearest in space within a time tolerance (exclusive), no farther than `farthest`; nulls where
     there is none."""
     spans = marks.withColumns({"_lo": F.col(at) - tolerance, "_hi": F.col(at) + tolerance})
-    spans = spans.select(mark_id, "_lo", "_hi", *(F.col(a).alias(f"m_{a}") for a in axes))
-    met = range_join(cloud, spans, t, "_lo", "_hi", width, closed="none")
+    spans = spans.select(mark_id, F.col(at).alias("_at"), "_lo", "_hi", *(F.col(a).alias(f"m_{a}") for a in axes))
+    met = partners(*timed(spans, cloud, "_at", t, tolerance, width), nearest([(f"m_{a}", a) for a in axes], t, tolerance, farthest), order)
     met = met.withColumn("dist", F.sqrt(sum(F.pow(F.col(a) - F.col(f"m_{a}"), 2) for a in axes)))
     best = met.groupBy(mark_id).agg(F.min_by(F.struct("dist", t, *(F.col(a).alias(f"ref_{a}") for a in axes)), F.struct("dist", *order)).alias("_b"))
     best = best.where(F.col("_b.dist") <= farthest)

@@ -86,3 +86,16 @@ def test_reproject_lists_no_pairs(spark):
     m, c = crowd(spark)
     q = m.select("id", F.col("q").alias("q_t"), F.col("x").alias("q_x"), F.col("y").alias("q_y"))
     assert most_rows(matching.reproject(q, c, 5000, 40.0, 5000, "id", ["x", "y"], "p")) < 20_000
+
+
+def test_nearest_reference_brute_force(spark):
+    marks, cloud, m, c = scattered(spark)
+    for tolerance, limit in ((2.5, 2.0), (30.0, 1e9), (0.4, 3.0)):
+        rows = matching.nearest_reference(m, c, tolerance, limit, 1.0, "id", "q", ["x", "y"], ["p"]).collect()
+        want, times = near(marks, cloud, tolerance, limit), {p: t for p, t, *_ in cloud}
+        assert {r["id"]: (r["dist"], r["ref_t"]) for r in rows} == {i: (d, times.get(p)) for i, (d, p) in want.items()}
+
+
+def test_nearest_reference_lists_no_pairs(spark):
+    m, c = crowd(spark)
+    assert most_rows(matching.nearest_reference(m, c, 5000, 30.0, 5000, "id", "q", ["x", "y"], ["p"])) < 20_000
