@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geodesy, scalars
 from ..functions import rotations as rot
 from .ordered import first_of_each
-from .range_join import interval_join, range_join
+from .partners import longest, partners
+from .range_join import range_join
 from .trajectory import interpolate
 
 
@@ -152,7 +153,9 @@ def slice_onto_scans(points: DataFrame, manifest: DataFrame, width: float, t: st
 
 def best_overlap(targets: DataFrame, references: DataFrame, width: float, target: str = "target", order: str = "ref_pos") -> DataFrame:
     """For each target (t_start, t_end) the reference (r_start, r_end) that shares most time; the first on ties."""
-    met = interval_join(targets, references, ("t_start", "t_end"), ("r_start", "r_end"), width)
+    buckets = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width).cast("long"), F.floor(F.col(hi) / width).cast("long")))
+    sides = targets.withColumn("_bucket", buckets("t_start", "t_end")), references.withColumn("_bucket", buckets("r_start", "r_end"))
+    met = partners(*sides, longest(("t_start", "t_end"), ("r_start", "r_end")), [order])
     shared = scalars.overlap(F.col("t_start"), F.col("t_end"), F.col("r_start"), F.col("r_end"))
     met = met.withColumn("overlap", shared)
     rest = [c for c in met.columns if c != target]

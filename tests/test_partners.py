@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from swathline.operators import matching
+from swathline.operators import clouds, matching
 from swathline.operators.partners import nearest, partners, timed
 
 
@@ -99,3 +99,25 @@ def test_nearest_reference_brute_force(spark):
 def test_nearest_reference_lists_no_pairs(spark):
     m, c = crowd(spark)
     assert most_rows(matching.nearest_reference(m, c, 5000, 30.0, 5000, "id", "q", ["x", "y"], ["p"])) < 20_000
+
+
+def test_best_overlap_brute_force(spark):
+    r = random.Random(4)
+    mk = lambda n: [(i, float(a), float(a + r.choice([0, 3, 3, 20, 90]))) for i, a in ((i, r.randint(0, 100)) for i in range(n))]
+    targets, refs = mk(120), [(*x, p) for x, p in zip(mk(160), r.sample(range(160), 160), strict=True)]
+    t = spark.createDataFrame([*targets, (500, None, 5.0)], "target int, t_start double, t_end double")
+    f = spark.createDataFrame([*refs, (500, 0.0, None, -1)], "ref int, r_start double, r_end double, ref_pos int")
+    shared = lambda x, y: min(x[2], y[2]) - max(x[1], y[1])
+    want = {}
+    for x in targets:
+        best = min(((-shared(x, y), y[3], y[0]) for y in refs if shared(x, y) > 0), default=None)
+        if best:
+            want[x[0]] = (best[2], -best[0])
+    for width in (7.0, 1000.0):
+        assert {r["target"]: (r["ref"], r["overlap"]) for r in clouds.best_overlap(t, f, width).collect()} == want
+
+
+def test_best_overlap_lists_no_pairs(spark):
+    t = spark.range(1500).select(F.col("id").alias("target"), F.col("id").alias("t_start"), (F.col("id") + 5000).alias("t_end"))
+    r = spark.range(1500).select(F.col("id").alias("ref"), (F.col("id") * 7 % 1500).alias("r_start"), (F.col("id") + 6000).alias("r_end"), F.col("id").alias("ref_pos"))
+    assert most_rows(clouds.best_overlap(t, r, 10000.0)) < 20_000
